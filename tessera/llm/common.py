@@ -94,7 +94,7 @@ class ShardWriter:
             return False
         self.close()
         self.name = f"{uuid.uuid4().hex}{self.suffix}"
-        self.stream, self.at = self.store.open_output_stream(os.path.join(self.root, self.name)), 0
+        self.stream, self.at = self.store.open_output_stream(os.path.join(self.root, self.name), compression=None), 0
         return True
 
     def put(self, blob: bytes) -> int:
