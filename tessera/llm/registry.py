@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op10_pruned_graph
+from .importance import op2_importance_resampling
 from .langid import op9_ppm_language
 from .media import op1_media_columns
 from .mixing import op7_entropy_mix
@@ -13,5 +15,5 @@ from .packing import op8_binary_pack
 from .simhash import op6_covering_simhash
 from .warc import OP4_SQL, op4_warc_revisits
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op4_warc_revisits, op6_covering_simhash, op7_entropy_mix, op8_binary_pack, op9_ppm_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_importance_resampling, op4_warc_revisits, op6_covering_simhash, op7_entropy_mix, op8_binary_pack, op9_ppm_language, op10_pruned_graph)}
 SQL: dict[str, str] = {"op4_warc_revisits": OP4_SQL}
