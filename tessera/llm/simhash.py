@@ -122,3 +122,107 @@ def hex64(c: Column) -> Column:
 def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# Near copies by shingle similarity: candidates by covering hashing of word-set fingerprints, then exact verification.
+
+#: Fingerprints of a document's set of words, each with covering tables of its own. A pair alike in 0.8 of its five-word
+#: shingles shares about 0.95 of its words, so the chance is high that one of them is within the radius.
+SET_FINGERPRINTS = 6
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+
+
+def set_fingerprints(docs: DataFrame, number: int = SET_FINGERPRINTS) -> DataFrame:
+    """doc_id, digest (SHA-256 of the text), f0, f1, ...: majority bits over the set of words, A-Z lower-cased."""
+    names = [f"f{i}" for i in range(number)]
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), *[(n, pa.int64()) for n in names]])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        from xxhash import xxh64_intdigest
+
+        from .passages import mixed
+
+        seeds = mixed(np.arange(1, number + 1, dtype=np.uint64))[:, None]
+        for b in it:
+            texts = [t or b"" for t in binary_list(b.column(1))]
+            fps = np.zeros((len(texts), number), np.uint64)
+            for i, t in enumerate(texts):
+                words = list(set(t.lower().split()))
+                if not words:
+                    continue
+                total = np.zeros((number, 64), np.int64)
+                for j in range(0, len(words), 16384):
+                    h = np.fromiter(map(xxh64_intdigest, words[j : j + 16384]), np.uint64)
+                    bits = np.unpackbits(mixed(h[None, :] ^ seeds).astype(">u8").view(np.uint8).reshape(number, len(h), 8), axis=2)
+                    total += bits.sum(1, dtype=np.int64)
+                fps[i] = np.packbits(2 * total > len(words), axis=1).view(">u8")[:, 0]
+            columns = [pa.array(fps[:, k].view(np.int64)) for k in range(number)] if len(texts) else [pa.array([], pa.int64())] * number
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), *columns], schema=schema)
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, " + ", ".join(f"{n} long" for n in names))
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, hashes: the sorted hashes of the text's word shingles (fewer words: the whole sequence)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in it:
+            out = []
+            for t in binary_list(b.column(1)):
+                w = (t or b"").lower().split()
+                out.append(np.unique(np.fromiter([xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))], np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, hashes binary")
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose shingle sets have a Jaccard similarity of `similarity` or more."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            good = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if similarity * max(len(x), len(y)) <= min(len(x), len(y)) else 0
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=schema)
+
+    x, y = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
+    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def copies_and_near_copies(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """doc_id of the documents that an exact or near copy with a smaller doc_id stands for; doc_id is a key of docs.
+
+    Within a bucket every member is compared with the smallest and the largest one, never all with all; groups follow
+    from the verified pairs. Documents without a word are copies of each other.
+    """
+    base = cut(set_fingerprints(docs), "near-base")
+    reps = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(SET_FINGERPRINTS)]), "near-reps")
+    masks = covering_masks()
+    at = F.explode(F.array(*[F.struct(F.lit(len(masks) * i + j).alias("t"), F.col(f"f{i}").bitwiseAND(F.lit(signed(m))).alias("kept")) for i in range(SET_FINGERPRINTS) for j, m in enumerate(masks)])).alias("at")
+    rows = reps.select("rep", at).select("rep", "at.t", "at.kept")
+    ends = cut(rows.groupBy("t", "kept").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high"), "near-buckets")
+    met = rows.join(ends, ["t", "kept"])
+    pairs = met.select(F.explode(F.array(F.struct(F.greatest("rep", "low").alias("a"), F.least("rep", "low").alias("b")), F.struct(F.greatest("rep", "high").alias("a"), F.least("rep", "high").alias("b")))).alias("e")).select("e.*").where("a <> b")
+    edges = cut(pairs.distinct(), "near-pairs")
+    wanted = cut(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct(), "near-wanted")
+    sets = cut(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "near-sets")
+    roots = components(verified(edges, sets, similarity))
+    copies = base.join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id")
+    return copies.union(roots.where("node <> root").select("node")).distinct()
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of exact and near copies, the one with the smallest doc_id; all columns kept."""
+    gone = cut(copies_and_near_copies(docs).withColumnRenamed("doc_id", "gone_id"), "near-gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
