@@ -19,7 +19,7 @@ from .common import binary_list, small_batches, table
 MAX_LENGTH = 2048
 END_ID = 1
 #: Words, and bytes of words, whose encodings a worker keeps; beyond either the memory of words starts anew.
-WORD_CACHE, CACHE_BYTES = 400_000, 16 << 20
+WORD_CACHE, CACHE_BYTES = 800_000, 32 << 20
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -30,55 +30,118 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def piece_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
-    """Lengths of the pieces of n tokens: whole ones of `most` (a power of two), then the binary digits of the rest."""
-    rest = n % most
-    return [most] * (n // most) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
+class WordIndex(dict):
+    """Words by number; a word asked for the first time gets the next one and is put on `fresh`."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
 
 
 class WordEncoder:
     """Token ids of whole texts, through a memory of the ids of words between ASCII blanks.
 
-    The vocabulary file drops white space and its splits and normal forms never look across it, so a text's ids are
-    those of its words in a row.
+    The vocabulary file drops white space and case, and its splits and normal forms never look across white space, so a
+    text's ids are those of its words in a row. New words that are letters with closing punctuation, which the file
+    splits in a known way, are encoded many at once: each part ends with one id that ends a word. Others go singly.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.end_id = end_id
         self.clear()
 
     def clear(self) -> None:
         import numpy as np
 
-        self.index: dict[bytes, int] = {}
-        self.held = 0
-        self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.index, self.held = WordIndex(), 0
+        self.index[None] = 0  # the end of a text
+        self.flat, self.starts = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64)
 
-    def encode(self, texts: list[bytes]) -> list:
+    def learn(self, fresh: list[bytes]) -> None:
+        """Append the ids of fresh words."""
+        import numpy as np
+
+        parts, counts, alone = [], np.ones(len(fresh), np.int64), []
+        for i, w in enumerate(fresh):
+            s = w.decode("utf-8", "replace")
+            core = s.rstrip(".,;:!?")
+            if core and core.lower().isalpha():
+                parts.append(core)
+                if len(core) < len(s):
+                    parts.append(s[len(core):])
+                    counts[i] = 2
+            else:
+                alone.append((i, s))
+                counts[i] = 0
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) != counts.sum():  # a split that was not foreseen: all go singly
+            alone, counts[:], ids, stops = [(i, w.decode("utf-8", "replace")) for i, w in enumerate(fresh)], 0, ids[:0], stops[:0]
+        at = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])]
+        chunks = np.split(ids, at[1:-1]) if alone else []
+        lengths = np.diff(at)
+        for (i, _), e in zip(alone, self.tokenizer.encode_batch_fast([s for _, s in alone], add_special_tokens=False), strict=True):
+            chunks[i] = np.array(e.ids, np.uint32)
+            lengths[i] = len(e.ids)
+        self.flat = np.concatenate([self.flat, *(chunks if alone else [ids])])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.held += sum(map(len, fresh))
+
+    def encode(self, texts: list[bytes]) -> tuple:
+        """The ids of all texts in a row, each text's followed by the end id, and their numbers."""
         import numpy as np
 
-        words = [t.split() for t in texts]
         if len(self.index) > WORD_CACHE or self.held > CACHE_BYTES:
             self.clear()
-        fresh = list(dict.fromkeys(w for ws in words for w in ws if w not in self.index))
-        if fresh:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
-            self.held += sum(map(len, fresh))
-            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
-            ends = np.cumsum([len(x) for x in ids]) + self.starts[-1]
-            self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.uint32)])
-            self.starts = np.concatenate([self.starts, ends])
-        out = []
-        for ws in words:
-            at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            first, count = self.starts[at], self.starts[at + 1] - self.starts[at]
-            ends = np.cumsum(count)
-            total = int(ends[-1]) if len(ends) else 0
-            take = np.arange(total) + np.repeat(first - (ends - count), count)
-            out.append(self.flat[take])
-        return out
+        at, sizes, end = [], [], np.zeros(1, np.int32)
+        for t in texts:
+            words = t.lower().split()
+            at += [np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)), end]
+            sizes.append(len(words) + 1)
+        if self.index.fresh:
+            self.learn(self.index.fresh)
+            self.index.fresh = []
+        word = np.concatenate(at)
+        first = self.starts[word]
+        count = self.starts[word + 1] - first
+        ends = np.cumsum(count)
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(first - ends + count, count)]
+        return flat, np.diff(ends[np.cumsum(sizes) - 1], prepend=0)
+
+
+#: Encoders of this worker by vocabulary and end id; tasks that follow each other share what was learned.
+ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(path: str, end_id: int) -> WordEncoder:
+    if (path, end_id) not in ENCODERS:
+        ENCODERS[path, end_id] = WordEncoder(path, end_id)
+    return ENCODERS[path, end_id]
+
+
+def pieces(counts, most: int = MAX_LENGTH) -> tuple:
+    """document, start and length of the pieces of documents of so many tokens, in order."""
+    import numpy as np
+
+    digits = most.bit_length() - 1
+    whole = counts // most
+    sizes = np.hstack([whole[:, None], (counts % most)[:, None] >> np.arange(digits - 1, -1, -1) & 1])
+    length = np.repeat(np.tile([most, *(1 << np.arange(digits - 1, -1, -1))], len(counts)), sizes.reshape(-1))
+    document = np.repeat(np.arange(len(counts)), sizes.sum(1))
+    start = np.cumsum(length) - length
+    return document, start - np.repeat(np.cumsum(counts) - counts, sizes.sum(1)), length
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -92,17 +155,18 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MAX_LENGTH,
         import numpy as np
         from pyspark import TaskContext
 
-        encoder, next_id = WordEncoder(path), TaskContext.get().partitionId() << 40
+        words, next_id = encoder(path, end_id), TaskContext.get().partitionId() << 40
         for b in it:
-            rows: dict[str, list] = {f.name: [] for f in SCHEMA}
-            doc_ids, texts = b.column(0).to_pylist(), [t or b"" for t in binary_list(b.column(1))]
-            for doc_id, ids in zip(doc_ids, encoder.encode(texts), strict=True):
-                blob, n, at = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes(), len(ids) + 1, 0
-                for k in piece_lengths(n, most):
-                    for name, v in zip(SCHEMA.names, (doc_id, at, k, blob[4 * at : 4 * (at + k)], n, next_id, 0), strict=True):
-                        rows[name].append(v)
-                    at, next_id = at + k, next_id + 1
-            yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
+            if not b.num_rows:
+                continue
+            flat, counts = words.encode([t or b"" for t in binary_list(b.column(1))])
+            document, start, length = pieces(counts, most)
+            n = len(length)
+            bounds = np.concatenate([[0], np.cumsum(4 * length)])
+            ids = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat.astype("<u4"))]).cast(pa.binary())
+            columns = [b.column(0).take(pa.array(document)), pa.array(start), pa.array(length), ids, pa.array(counts[document]), pa.array(np.arange(next_id, next_id + n)), pa.array(np.zeros(n, np.int64))]
+            next_id += n
+            yield pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DDL)
