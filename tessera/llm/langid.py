@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import binary_list, small_batches, table
+from .common import binary_list, free_name, small_batches, table
 
 SAMPLE_DOCS, SAMPLE_BYTES = 500, 1 << 16
 #: Languages that are learned, the most frequent ones; bounds what workers hold.
@@ -154,41 +155,36 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
     return ContextTrees({k: sorted(v) for k, v in texts.items() if v})
 
 
-SCHEMA = pa.schema([("pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())])
-DDL = "pred string, score double, bits double"
+FOUND = pa.schema([("pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())])
 
 
-def predict(docs: DataFrame, trees: ContextTrees, has_letter: str = "has_letter") -> DataFrame:
-    """docs with the columns lang_pred, score and bits (bits a byte in the predicted language); all columns of docs kept (they win over clashing names)."""
+def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
+    """docs with one more column, the last: a struct of pred, score and bits (bits a byte in the predicted language). It
+    is called `language`, or a variant of that where docs has such a column."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(trees)
-    columns = docs.columns
+    inner = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for b in it:
             if not b.num_rows:
                 continue
-            texts = [t if ok and t is not None else b"" for t, ok in zip(binary_list(b.column("_text")), b.column("_letter").to_pylist(), strict=True)]
+            texts = [t if ok and t is not None else b"" for t, ok in zip(binary_list(b.column("text")), b.column("letter").to_pylist(), strict=True)]
             n = len(trees.languages)
             bits = trees.lengths(texts) if n else np.zeros((len(texts), 0))
             pred, score, rate = [], [], []
             for t, x in zip(texts, bits, strict=True):
-                if not t or not n:
-                    pred.append(UND), score.append(0.0), rate.append(None)
-                    continue
-                best = int(np.argmin(x))
-                pred.append(trees.languages[best])
-                score.append(float(1 / np.exp2(np.maximum(x[best] - x, -1000)).sum()))
-                rate.append(float(x[best]) / len(t))
-            new = [pa.array(v, k.type) for v, k in zip((pred, score, rate), SCHEMA, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("_row"), *new], names=["_row", *SCHEMA.names])
-
-    inner = docs.select(F.struct(*[F.col(c) for c in columns if c != "text"], *([F.col("text")] if "text" in columns else [])).alias("_row"), F.col("text").cast("string").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    out = inner.mapInArrow(run, f"_row {inner.schema['_row'].dataType.simpleString()}, {DDL}")
-    own = {c.lower() for c in columns}
-    return out.select(*[F.col("_row")[c].alias(c) for c in columns], *[F.col(c).alias(k) for c, k in (("pred", "lang_pred"), ("score", "score"), ("bits", "bits")) if k not in own])
+                best = int(np.argmin(x)) if t and n else -1
+                pred.append(trees.languages[best] if best >= 0 else UND)
+                score.append(float(1 / np.exp2(np.maximum(x[best] - x, -1000)).sum()) if best >= 0 else 0.0)
+                rate.append(float(x[best]) / len(t) if best >= 0 else None)
+            found = pa.StructArray.from_arrays([pa.array(v, k.type) for v, k in zip((pred, score, rate), FOUND, strict=True)], names=FOUND.names)
+            yield pa.RecordBatch.from_arrays([b.column("row"), found], names=["row", "found"])
+
+    kind = T.StructType([T.StructField("row", inner.schema["row"].dataType), T.StructField("found", T.StructType([T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]))])
+    return inner.mapInArrow(run, kind).select("row.*", F.col("found").alias(free_name(docs, "language")))
 
 
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,4 +192,4 @@ def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = train(docs.select("doc_id", "text", "lang"), keep=~held_out(F.col("doc_id")))
     out = predict(docs.select("doc_id", "text"), trees)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.pred").alias("lang_pred"), "language.score", "language.bits")

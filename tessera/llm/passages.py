@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import binary_list, cut, small_batches
 
@@ -364,7 +365,6 @@ def repeated_runs(docs: DataFrame, unit, solver: Solver) -> DataFrame:
     return runs.groupBy("d", "t").agg(F.collect_list(F.struct("p", "c")).alias("runs"))
 
 
-CUT_DDL = "n_units long, n_removed long, n_spans long, kept binary"
 CUT = pa.schema([("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
@@ -391,4 +391,5 @@ def without_repeats(docs: DataFrame, unit, solver: Solver) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("row"), *[pa.array(out[f.name], f.type) for f in CUT]], names=["row", *CUT.names])
 
     joined = ready.join(runs, ["d", "t"], "left")
-    return joined.mapInArrow(run, f"row {ready.schema['row'].dataType.simpleString()}, {CUT_DDL}")
+    kind = T.StructType([T.StructField("row", ready.schema["row"].dataType), *[T.StructField(n, T.LongType()) for n in CUT.names[:3]], T.StructField("kept", T.BinaryType())])
+    return joined.mapInArrow(run, kind)

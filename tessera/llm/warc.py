@@ -106,7 +106,7 @@ def resolve(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """
     order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), F.col("shard").alias("s"), F.col("place").alias("p"))
     groups = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max(order).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    originals = cut(groups.select(F.col("digest").alias("o_digest"), F.col("kept.id").alias("o_id"), F.col("kept.s").alias("o_shard"), F.col("kept.p").alias("o_place")), "warc-originals")
+    originals = cut(groups.select(F.col("digest").alias("o_digest"), F.when(F.col("kept.id") != -(1 << 63), F.col("kept.id")).alias("o_id"), F.col("kept.s").alias("o_shard"), F.col("kept.p").alias("o_place")), "warc-originals")
     j = headers.join(originals, (headers["digest"] == originals["o_digest"]) & (headers["payload_bytes"] >= min_bytes), "left")
     revisit = F.col("o_digest").isNotNull() & ~((F.col("shard") == F.col("o_shard")) & (F.col("place") == F.col("o_place")))
     return j.select(*headers.columns, revisit.alias("revisit"), F.when(revisit, F.col("o_id")).alias("refers_to"))
@@ -126,7 +126,7 @@ def write_deduplicated(resolved: DataFrame, crawl: str, root: str) -> DataFrame:
             for r in b.to_pylist():
                 fields = identity(r["page_id"], r["url"], r["digest"])
                 if r["revisit"]:
-                    fields = [("WARC-Type", "revisit"), *fields, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(r["refers_to"])), ("WARC-Refers-To-Page-ID", str(r["refers_to"]))]
+                    fields = [("WARC-Type", "revisit"), *fields, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(r["refers_to"])), ("WARC-Refers-To-Page-ID", "" if r["refers_to"] is None else str(r["refers_to"]))]
                     member = record(fields, http_head(r["payload_bytes"]))
                 else:
                     payload = parse(old.read(r["shard"], r["place"], r["stored"]))[2]
@@ -156,7 +156,7 @@ def read_archives(places: DataFrame, root: str) -> DataFrame:
                 response = fields["WARC-Type"] == "response"
                 digest = hashlib.sha1(payload).hexdigest() if response else bare(fields["WARC-Payload-Digest"])
                 refers = fields.get("WARC-Refers-To-Page-ID")
-                values = (int(fields["WARC-Page-ID"]) if fields["WARC-Page-ID"] else None, len(payload) if response else int(http["Content-Length"]), digest, fields["WARC-Type"], int(refers) if refers is not None else None, fields["WARC-Target-URI"])
+                values = (int(fields["WARC-Page-ID"]) if fields["WARC-Page-ID"] else None, len(payload) if response else int(http["Content-Length"]), digest, fields["WARC-Type"], int(refers) if refers else None, fields["WARC-Target-URI"])
                 for k, v in zip(RECORDS.names, values, strict=True):
                     rows[k].append(v)
             yield batches(rows, RECORDS)
