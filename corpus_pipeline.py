@@ -20,7 +20,8 @@ from tessera.llm.simhash import without_near_copies
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that are in no language: no letter, or more than REJECT_BITS bits a byte in the likeliest one."""
     known = predict(docs, train(docs.select("doc_id", "text", "lang")))
-    return known.where((F.col("lang_pred") != UND) & (F.col("bits") <= REJECT_BITS)).select(*docs.columns)
+    found = known[known.columns[-1]]
+    return known.where((found["pred"] != UND) & (found["bits"] <= REJECT_BITS)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
