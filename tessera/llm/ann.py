@@ -6,6 +6,8 @@ shard. A graph is grown from a few seeds in rounds that double it: a beam search
 new point's neighbours, relaxed pruning (keep the nearest, drop what a kept one is alpha times nearer to, repeat) keeps
 a diverse few, and backward edges are pruned alike. All points of a round are searched together, as matrix operations.
 
+Rows with one and the same vector are one point of the graph, and are all found with it.
+
 Every query beams through every shard's graph; its shard answers are merged by rank, so only k rows for each query
 and shard are shuffled. The score is the inner product of the original vectors in double precision.
 
@@ -154,6 +156,13 @@ class Graph:
         return ids, dist
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash sends there, so that shards and tasks match one to one."""
+    keys = spark.range(n * (40 + n.bit_length())).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("k")).collect()
+    known = {r["p"]: r["k"] for r in keys}
+    return [known.get(p, p) for p in range(n)]
+
+
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 FOUND_DDL = "query_id long, vec_id long, score double"
 
@@ -163,21 +172,34 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def answer(ids: np.ndarray, vectors: np.ndarray, graph: Graph, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best candidates of a shard for each query, scored exactly."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    beam = max(QUERY_BEAM, 3 * k)
-    for i in range(0, len(queries), TOGETHER):
-        q = queries[i : i + TOGETHER]
-        found = graph.search(np.hstack([q, np.zeros((len(q), 1))]), beam)[0]
-        for qid, x, near in zip(query_ids[i : i + TOGETHER], q, found, strict=True):
-            near = near[near >= 0]
-            near = near[ids[near] != qid]
-            score = np.array([float(v) for v in (vectors[near] * x).sum(1)])
-            top = np.lexsort((ids[near], -score))[:k]
-            out.append((np.full(len(top), qid), ids[near][top], score[top]))
-    parts = [np.concatenate([o[j] for o in out]) if out else np.empty(0) for j in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array(p, f.type) for p, f in zip(parts, FOUND, strict=True)], schema=FOUND)
+class Shard:
+    """A shard's graph over its distinct vectors, each with the ids that have it."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        _, first, of = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).reshape(-1), return_index=True, return_inverse=True)
+        order = np.lexsort((ids, of))
+        self.vectors, self.ids = vectors[first], ids[order]
+        self.count = np.bincount(of, minlength=len(first))
+        self.start = np.cumsum(self.count) - self.count
+        self.graph = Graph(self.vectors)
+
+    def answer(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
+        """The k best candidates for each query, scored exactly; of rows with one vector the smallest ids come first, so k + 1 of them do."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        beam = max(QUERY_BEAM, 3 * k)
+        for i in range(0, len(queries), TOGETHER):
+            q = queries[i : i + TOGETHER]
+            found = self.graph.search(np.hstack([q, np.zeros((len(q), 1))]), beam)[0]
+            for qid, x, near in zip(query_ids[i : i + TOGETHER], q, found, strict=True):
+                near = near[near >= 0]
+                n = np.minimum(self.count[near], k + 1)
+                ids = self.ids[np.repeat(self.start[near] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                score = np.repeat((self.vectors[near] * x).sum(1), n)
+                top = np.lexsort((ids, -score))
+                top = top[ids[top] != qid][:k]
+                out.append((np.full(len(top), qid), ids[top], score[top]))
+        parts = [np.concatenate([o[j] for o in out]) if out else np.empty(0) for j in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(p, f.type) for p, f in zip(parts, FOUND, strict=True)], schema=FOUND)
 
 
 def nearest(rows: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -193,17 +215,17 @@ def nearest(rows: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS)
     path = work_dir(spark, "ann-queries")
     good.where(is_query).write.parquet(path)
     shard = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)).cast("int")
-    dealt = good.select(shard.alias("shard"), "vec_id", "embedding").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "vec_id")
+    rows = good.select(shard.alias("shard"), "vec_id", "embedding")
+    dealt = rows.repartition(shards, F.element_at(F.array(*[F.lit(x).cast("long") for x in partition_keys(spark, shards)]), F.col("shard") + 1)).sortWithinPartitions("shard", "vec_id")
 
     def answers(own: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
 
-        ids, vectors = np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own])
-        graph = Graph(vectors)
+        mine = Shard(np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own]))
         store, folder = open_store(path)
         for b in ds.dataset(folder, filesystem=store, format="parquet", exclude_invalid_files=False).to_batches(columns=["vec_id", "embedding"], batch_size=QUERY_BLOCK):
             if b.num_rows:
-                yield answer(ids, vectors, graph, b.column(0).to_numpy(), matrix(b.column(1)), k)
+                yield mine.answer(b.column(0).to_numpy(), matrix(b.column(1)), k)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []

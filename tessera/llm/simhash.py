@@ -87,7 +87,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest value of its component) for the edges (a, b), by alternating large and small stars."""
+    """node, root (the smallest value of its component) for the edges (a, b), by alternating large and small stars; roots
+    have no row of their own."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     before = None
     while True:
