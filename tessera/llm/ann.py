@@ -82,8 +82,8 @@ class Graph:
         self.out[p, : len(edges)], self.out[p, len(edges) :], self.count[p] = edges, -1, len(edges)
 
     def prune(self, p: int, candidates: np.ndarray) -> np.ndarray:
-        """At most `degree` of the candidates: nearest first, without those that a kept one is alpha times nearer to."""
-        c = np.unique(candidates[candidates != p])
+        """At most `degree` of the candidates, all different: nearest first, without those that a kept one is alpha times nearer to."""
+        c = candidates[candidates != p]
         if not len(c):
             return c
         x = self.points[c]
@@ -101,7 +101,7 @@ class Graph:
         return c[kept]
 
     def link_back(self, new: np.ndarray) -> None:
-        """Edges from their neighbours back to new points; lists that overflow are pruned."""
+        """Edges from their neighbours back to new points, which no list has yet; lists that overflow are pruned."""
         heads = np.repeat(new, self.count[new])
         tails = self.out[new][self.out[new] >= 0]
         order = np.argsort(tails, kind="stable")
@@ -109,7 +109,7 @@ class Graph:
         at = np.flatnonzero(np.diff(tails, prepend=-1))
         for t, h in zip(tails[at], np.split(heads, at[1:]), strict=True):
             old = self.out[t, : self.count[t]]
-            both = np.concatenate([old, h[~np.isin(h, old)]])
+            both = np.concatenate([old, h])
             self.set_edges(t, both if len(both) <= self.degree else self.prune(t, both))
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
