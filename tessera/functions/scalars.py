@@ -16,9 +16,9 @@ LEVEL_LABELS = {"DEBUG": "调试 DEBUG", "INFO": "信息 INFO", "WARN": "警告
 
 
 def round_half_up(x: Column, places: int) -> Column:
-    """Rounded half away from zero in double arithmetic, one formula for Spark and SQL alike."""
+    """Rounded half away from zero in double arithmetic, one formula for Spark and SQL alike; numbers without such digits stay."""
     scale = float(10**places)
-    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    return F.when(F.abs(x) * scale < 4e15, F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale).otherwise(x.cast("double"))
 
 
 def to_double(c: Column) -> Column:

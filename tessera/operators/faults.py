@@ -40,9 +40,9 @@ def choose_worker(workers: DataFrame, exclude: list[str] | None = None) -> DataF
 
 def free_slots(workers: DataFrame, tasks: DataFrame, most: int = 3) -> DataFrame:
     """worker_id, capacity, running, free of alive workers with room; capacity is 1 to `most`, by cores."""
-    running = tasks.where(F.col("status").isin(*ACTIVE_TASKS)).groupBy("worker_id").agg(F.count("*").alias("running"))
+    running = tasks.where(F.col("status").isin(*ACTIVE_TASKS)).groupBy("worker_id").agg(F.count("*").alias("_running"))
     cores = F.when(F.coalesce(F.col("cpu_cores"), F.lit(0)) > 0, F.col("cpu_cores")).otherwise(2)
-    j = workers.where(F.col("status") == "alive").join(running, "worker_id", "left").select("worker_id", F.greatest(F.lit(1), F.least(cores, F.lit(most))).cast("int").alias("capacity"), F.coalesce("running", F.lit(0)).cast("bigint").alias("running"))
+    j = workers.where(F.col("status") == "alive").join(running, "worker_id", "left").select("worker_id", F.greatest(F.lit(1), F.least(cores, F.lit(most))).cast("int").alias("capacity"), F.coalesce("_running", F.lit(0)).cast("bigint").alias("running"))
     return j.withColumn("free", F.col("capacity") - F.col("running")).where("free > 0")
 
 
