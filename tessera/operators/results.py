@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def page(df: DataFrame, *order, limit: int = 200) -> DataFrame:
-    """The first `limit` rows in order, each with `total` and `truncated`; the total is counted beside the top rows, not by sorting all."""
+    """The first `limit` rows in order, each with `total` and `truncated`; the total is counted beside the top rows, not by sorting all.
+
+    The count touches every column, so that both sides need the same shuffle and Spark runs it once.
+    """
     top = df.orderBy(*order).limit(limit)
-    return top.crossJoin(df.agg(F.count("*").alias("total"))).withColumn("truncated", F.col("total") > limit)
+    counted = df.agg(F.when(F.max(F.xxhash64(*df.columns)).isNull(), 0).otherwise(F.count("*")).cast("bigint").alias("total"))
+    return top.crossJoin(counted).withColumn("truncated", F.col("total") > limit)
 
 
 def partition_summary(df: DataFrame) -> DataFrame:
