@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from ..functions import mappers as m
 from . import reducers as r
@@ -44,6 +46,28 @@ for _name, _f in (("wordcount_mapper", m.wordcount), ("word_length_mapper", m.wo
 for _name, _f in (("count_reducer", r.count), ("stats_reducer", r.stats), ("sum_reducer", r.total), ("extremes_reducer", r.extremes)):
     REDUCERS.register(_name, _f, _f.__doc__ or "")
 
+def python_mapper(function: Callable[[list[dict], dict], list[tuple]], value_type: str = "double") -> Mapper:
+    """A mapper from a plain function (records, params) -> [(key, value)]; it gets Arrow batches of records, so it must be stateless."""
+
+    def mapper(df: DataFrame, **params) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield pd.DataFrame(function(frame.to_dict("records"), params), columns=["key", "value"])
+
+        return df.mapInPandas(run, f"key string, value {value_type}")
+
+    return mapper
+
+
+def python_reducer(function: Callable[[str, list], dict], schema: StructType | str) -> Reducer:
+    """A reducer from a plain function (key, values) -> record. A key's values meet in one task's memory: for keys of bounded size."""
+
+    def reducer(df: DataFrame) -> DataFrame:
+        return df.groupBy("key").applyInPandas(lambda key, frame: pd.DataFrame([function(key[0], frame["value"].tolist())]), schema)
+
+    return reducer
+
+
 #: The kind of input each mapper reads; others read word text.
 INPUT_KINDS = {"wordcount_mapper": "wordcount", "word_length_mapper": "word_length", "grep_mapper": "grep", "kv_mapper": "kv", "distinct_mapper": "distinct"}
 

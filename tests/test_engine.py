@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 from tessera.functions import mappers, scalars
-from tessera.operators import faults, jobs, logs, metrics, partitioning, reducers, results
+from tessera.operators import config, faults, jobs, logs, metrics, partitioning, reducers, results
 from tessera.sources import tables
 from tessera.streaming.heartbeats import windowed_beats
 
@@ -244,3 +244,19 @@ def test_heartbeat_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["beats"] for r in spark.table("beats").collect()) == [1, 1]
+
+
+def test_python_functions(spark, texts):
+    jobs.MAPPERS.register("py_mapper", jobs.python_mapper(lambda records, params: [(w, params["by"]) for r in records for w in (r["text"] or "").split()], "long"))
+    jobs.REDUCERS.register("py_reducer", jobs.python_reducer(lambda key, values: {"key": key, "n": sum(values)}, "key string, n long"))
+    try:
+        want = Counter(w for t in TEXTS for w in (t or "").split())
+        assert dict(rows(jobs.run_job(texts, "py_mapper", "py_reducer", by=2))) == {k: 2 * n for k, n in want.items()}
+    finally:
+        del jobs.MAPPERS.functions["py_mapper"], jobs.REDUCERS.functions["py_reducer"]
+
+
+def test_config():
+    c = config.EngineConfig().updated(max_attempts="7", speculation="off", straggler_threshold="nan", shuffle_partitions=-5, input_rows=1e12, unknown=1, seed=None)
+    assert (c.max_attempts, c.speculation, c.straggler_threshold, c.shuffle_partitions, c.input_rows, c.seed) == (7, False, 2.0, 1, 10_000_000, 42)
+    assert c.spark_settings()["spark.task.maxFailures"] == "7" and c.updated() == c
