@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,10 +32,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, a temporary folder of this machine is set as such."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessera.work.dir", None)
+    """A new folder under spark.checkpoint.dir. Only where that is unset, as in tests on one machine, under a temporary folder
+    of this process, which goes with it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessera.work.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        own = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         spark.conf.set("tessera.work.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 

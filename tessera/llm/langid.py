@@ -28,7 +28,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 500, 1 << 16
 #: Languages that are learned, the most frequent ones; bounds what workers hold.
 MAX_LANGUAGES = 64
 #: Bits a byte above which a document is taken for no language at all (a filter's parameter, not op9's).
-REJECT_BITS = 6.0
+REJECT_BITS = 7.0
 ORDER = 3
 UND = "und"
 
