@@ -19,7 +19,7 @@ from .common import binary_list, small_batches, table
 MAX_LENGTH = 2048
 END_ID = 1
 #: Words, and bytes of words, whose encodings a worker keeps; beyond either the memory of words starts anew.
-WORD_CACHE, CACHE_BYTES = 800_000, 32 << 20
+WORD_CACHE, CACHE_BYTES = 500_000, 32 << 20
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 

@@ -39,7 +39,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PIECE = 1 << 21
 LOW_BITS = np.uint64(24)
 #: Segments that a task looks at together for repeats of its own.
-LOCAL = 400_000
+LOCAL = 250_000
 #: Sampled documents, and the different segments among them that make a key frequent.
 SAMPLE_DOCS, FREQUENT = 5000, 20
 WIDE = 20_000
