@@ -127,39 +127,53 @@ def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Near copies by shingle similarity: candidates by covering hashing of word-set fingerprints, then exact verification.
 
-#: Fingerprints of a document's set of words, each with covering tables of its own. A pair alike in 0.8 of its five-word
-#: shingles shares about 0.95 of its words, so the chance is high that one of them is within the radius.
-SET_FINGERPRINTS = 6
+#: Fingerprints of a document's set of words, each with covering tables of its own: majorities as above, and sampled ones,
+#: whose bits are each taken from the least word hash of a permutation. Documents alike in 0.8 of their five-word shingles share
+#: about 0.95 of their words; bits of majorities then differ with the angle, those of samples with half the distance
+#: of the sets, which is much less for so close a pair.
+MAJORITIES, SAMPLED = 2, 4
+SET_FINGERPRINTS = MAJORITIES + SAMPLED
+#: Leaders of a bucket in the first round and in later ones, where few documents are left.
+LEADERS = 2, 16
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 
 
-def set_fingerprints(docs: DataFrame, number: int = SET_FINGERPRINTS) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text), f0, f1, ...: majority bits over the set of words, A-Z lower-cased."""
+def word_set_bits(words: list[bytes]) -> np.ndarray:
+    """The MAJORITIES and then the SAMPLED fingerprints of a set of words, unsigned."""
+    from xxhash import xxh64_intdigest
+
+    from .passages import mixed
+
+    seeds = mixed(np.arange(1, MAJORITIES + 1, dtype=np.uint64))[:, None]
+    factors = mixed(np.arange(1, 64 * SAMPLED + 1, dtype=np.uint64) << np.uint64(8))[:, None] | np.uint64(1)
+    total = np.zeros((MAJORITIES, 64), np.int64)
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for j in range(0, len(words), 4096):  # bounds the work memory of very long texts
+        h = np.fromiter(map(xxh64_intdigest, words[j : j + 4096]), np.uint64)
+        bits = np.unpackbits(mixed(h[None, :] ^ seeds).astype(">u8").view(np.uint8).reshape(MAJORITIES, len(h), 8), axis=2)
+        total += bits.sum(1, dtype=np.int64)
+        least = np.minimum(least, (h[None, :] * factors).min(1))
+    sampled = (mixed(least) & np.uint64(1)).astype(np.uint8).reshape(SAMPLED, 64)
+    return np.packbits(np.concatenate([2 * total > len(words), sampled]), axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+
+def set_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (SHA-256 of the text), f0, f1, ...: fingerprints of the set of words, A-Z lower-cased (no words: zero)."""
+    number = SET_FINGERPRINTS
     names = [f"f{i}" for i in range(number)]
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), *[(n, pa.int64()) for n in names]])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        from xxhash import xxh64_intdigest
-
-        from .passages import mixed
-
-        seeds = mixed(np.arange(1, number + 1, dtype=np.uint64))[:, None]
         for b in it:
             texts = [t or b"" for t in binary_list(b.column(1))]
             fps = np.zeros((len(texts), number), np.uint64)
             for i, t in enumerate(texts):
                 words = list(set(t.lower().split()))
-                if not words:
-                    continue
-                total = np.zeros((number, 64), np.int64)
-                for j in range(0, len(words), 16384):
-                    h = np.fromiter(map(xxh64_intdigest, words[j : j + 16384]), np.uint64)
-                    bits = np.unpackbits(mixed(h[None, :] ^ seeds).astype(">u8").view(np.uint8).reshape(number, len(h), 8), axis=2)
-                    total += bits.sum(1, dtype=np.int64)
-                fps[i] = np.packbits(2 * total > len(words), axis=1).view(">u8")[:, 0]
-            columns = [pa.array(fps[:, k].view(np.int64)) for k in range(number)] if len(texts) else [pa.array([], pa.int64())] * number
+                if words:
+                    fps[i] = word_set_bits(words)
+            columns = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(number)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), *columns], schema=schema)
 
     small_batches(docs.sparkSession)
@@ -204,21 +218,35 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def copies_and_near_copies(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """doc_id of the documents that an exact or near copy with a smaller doc_id stands for; doc_id is a key of docs.
 
-    Within a bucket every member is compared with the smallest and the largest one, never all with all; groups follow
-    from the verified pairs. Documents without a word are copies of each other.
+    Within a bucket every member is compared with a few leaders, the smallest of each part by hash, never all with all.
+    Members like no leader meet again in the next round, without the leaders, until no bucket has company; groups
+    follow from the verified pairs. Documents without a word are copies of each other.
     """
     base = cut(set_fingerprints(docs), "near-base")
     reps = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(SET_FINGERPRINTS)]), "near-reps")
     masks = covering_masks()
     at = F.explode(F.array(*[F.struct(F.lit(len(masks) * i + j).alias("t"), F.col(f"f{i}").bitwiseAND(F.lit(signed(m))).alias("kept")) for i in range(SET_FINGERPRINTS) for j, m in enumerate(masks)])).alias("at")
     rows = reps.select("rep", at).select("rep", "at.t", "at.kept")
-    ends = cut(rows.groupBy("t", "kept").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high"), "near-buckets")
-    met = rows.join(ends, ["t", "kept"])
-    pairs = met.select(F.explode(F.array(F.struct(F.greatest("rep", "low").alias("a"), F.least("rep", "low").alias("b")), F.struct(F.greatest("rep", "high").alias("a"), F.least("rep", "high").alias("b")))).alias("e")).select("e.*").where("a <> b")
-    edges = cut(pairs.distinct(), "near-pairs")
-    wanted = cut(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct(), "near-wanted")
-    sets = cut(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "near-sets")
-    roots = components(verified(edges, sets, similarity))
+    sets, edges, parts = None, None, LEADERS[0]
+    while True:
+        part = F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(parts))
+        led = rows.groupBy("t", "kept").agg(F.count("*").alias("n"), F.array_compact(F.array(*[F.min(F.when(part == i, F.col("rep"))) for i in range(parts)])).alias("leads")).where("n > 1").drop("n")
+        led = cut(led, "near-buckets")
+        if sets is not None and led.isEmpty():
+            break
+        met = cut(rows.join(led, ["t", "kept"]), "near-met")
+        pairs = met.select("rep", F.explode("leads").alias("lead")).where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
+        if sets is None:
+            wanted = cut(met.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
+            sets = cut(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "near-sets")
+        good = cut(verified(pairs, sets, similarity), "near-pairs")
+        edges = good if edges is None else edges.unionByName(good)
+        followers = met.where(~F.array_contains("leads", F.col("rep")))
+        alike = good.select(F.col("a").alias("rep"), F.col("b").alias("lead")).union(good.select(F.col("b").alias("rep"), F.col("a").alias("lead")))
+        # tables with the same leaders count once
+        settled = followers.select("rep", "leads").distinct().select("rep", "leads", F.explode("leads").alias("lead")).join(alike, ["rep", "lead"], "left_semi").select("rep", "leads").distinct()
+        rows, parts = followers.join(settled, ["rep", "leads"], "left_anti").select("rep", "t", "kept"), LEADERS[1]
+    roots = components(edges)
     copies = base.join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id")
     return copies.union(roots.where("node <> root").select("node")).distinct()
 
