@@ -133,8 +133,8 @@ def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: of the sets, which is much less for so close a pair.
 MAJORITIES, SAMPLED = 2, 4
 SET_FINGERPRINTS = MAJORITIES + SAMPLED
-#: Leaders of a bucket in the first round and in later ones, where few documents are left.
-LEADERS = 2, 16
+#: Leaders of a bucket, with which its members are compared.
+LEADERS = 2
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 
 
@@ -218,34 +218,21 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def copies_and_near_copies(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """doc_id of the documents that an exact or near copy with a smaller doc_id stands for; doc_id is a key of docs.
 
-    Within a bucket every member is compared with a few leaders, the smallest of each part by hash, never all with all.
-    Members like no leader meet again in the next round, without the leaders, until no bucket has company; groups
-    follow from the verified pairs. Documents without a word are copies of each other.
+    Within a bucket every member is compared with a few leaders, the smallest of each part by hash, never all with all;
+    groups follow from the verified pairs, so members like no leader of any of their buckets are missed. Documents without a word are copies of each other.
     """
     base = cut(set_fingerprints(docs), "near-base")
     reps = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(SET_FINGERPRINTS)]), "near-reps")
     masks = covering_masks()
     at = F.explode(F.array(*[F.struct(F.lit(len(masks) * i + j).alias("t"), F.col(f"f{i}").bitwiseAND(F.lit(signed(m))).alias("kept")) for i in range(SET_FINGERPRINTS) for j, m in enumerate(masks)])).alias("at")
     rows = reps.select("rep", at).select("rep", "at.t", "at.kept")
-    sets, edges, parts = None, None, LEADERS[0]
-    while True:
-        part = F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(parts))
-        led = rows.groupBy("t", "kept").agg(F.count("*").alias("n"), F.array_compact(F.array(*[F.min(F.when(part == i, F.col("rep"))) for i in range(parts)])).alias("leads")).where("n > 1").drop("n")
-        led = cut(led, "near-buckets")
-        if sets is not None and led.isEmpty():
-            break
-        met = cut(rows.join(led, ["t", "kept"]), "near-met")
-        pairs = met.select("rep", F.explode("leads").alias("lead")).where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-        if sets is None:
-            wanted = cut(met.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
-            sets = cut(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "near-sets")
-        good = cut(verified(pairs, sets, similarity), "near-pairs")
-        edges = good if edges is None else edges.unionByName(good)
-        followers = met.where(~F.array_contains("leads", F.col("rep")))
-        alike = good.select(F.col("a").alias("rep"), F.col("b").alias("lead")).union(good.select(F.col("b").alias("rep"), F.col("a").alias("lead")))
-        # tables with the same leaders count once
-        settled = followers.select("rep", "leads").distinct().select("rep", "leads", F.explode("leads").alias("lead")).join(alike, ["rep", "lead"], "left_semi").select("rep", "leads").distinct()
-        rows, parts = followers.join(settled, ["rep", "leads"], "left_anti").select("rep", "t", "kept"), LEADERS[1]
+    part = F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(LEADERS))
+    led = rows.groupBy("t", "kept").agg(F.count("*").alias("n"), F.array_compact(F.array(*[F.min(F.when(part == i, F.col("rep"))) for i in range(LEADERS)])).alias("leads")).where("n > 1").drop("n")
+    met = cut(rows.join(cut(led, "near-buckets"), ["t", "kept"]), "near-met")
+    pairs = met.select("rep", F.explode("leads").alias("lead")).where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
+    wanted = cut(met.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
+    sets = cut(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "near-sets")
+    edges = cut(verified(pairs, sets, similarity), "near-pairs")
     roots = components(edges)
     copies = base.join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id")
     return copies.union(roots.where("node <> root").select("node")).distinct()
