@@ -133,7 +133,7 @@ def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: of the sets, which is much less for so close a pair.
 MAJORITIES, SAMPLED = 2, 4
 SET_FINGERPRINTS = MAJORITIES + SAMPLED
-#: Leaders of a bucket, with which its members are compared.
+#: Leaders of a bucket, with which its members are compared in the first round; twice as many in each further one.
 LEADERS = 2
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 
@@ -215,24 +215,47 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def bucket_links(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified edges (a, b), a > b, of the members `rep` that rows (rep, t, kept) put into one bucket.
+
+    In rounds, every member is compared with the leaders of its buckets, the smallest of each part by hash. Then leaders
+    leave their buckets, and members with a smaller near copy leave all: they are gone anyway. The rest meets new leaders,
+    twice as many as before, until no bucket has two members. So any two members of a bucket without a smaller near copy are compared.
+    """
+    spark, parts, found, sets = docs.sparkSession, LEADERS, [], None
+    while True:
+        part = F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(parts))
+        led = rows.groupBy("t", "kept", part.alias("part")).agg(F.count("*").alias("n"), F.min("rep").alias("lead")).groupBy("t", "kept").agg(F.sum("n").alias("n"), F.collect_list("lead").alias("leads")).where("n > 1").drop("n")
+        met = cut(rows.join(cut(led, "near-buckets"), ["t", "kept"]), "near-met")
+        if met.isEmpty():
+            break
+        if sets is None:
+            wanted = cut(met.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
+            sets = cut(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "near-sets")
+            sizes = cut(sets.select("doc_id", F.octet_length("hashes").alias("size")), "near-sizes")
+        pairs = met.select("rep", F.explode("leads").alias("lead")).where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
+        pairs = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("m")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("n")), "b")
+        pairs = pairs.where(F.least("m", "n") >= similarity * F.greatest("m", "n")).select("a", "b")
+        found.append(cut(verified(pairs, sets, similarity), "near-pairs"))
+        gone = found[-1].select(F.col("a").alias("rep")).distinct()
+        rows = cut(met.where(~F.array_contains("leads", F.col("rep"))).select("rep", "t", "kept").join(gone, "rep", "left_anti"), "near-rest")
+        parts *= 2
+    out = spark.createDataFrame([], "a long, b long")
+    for f in found:
+        out = out.union(f)
+    return out
+
+
 def copies_and_near_copies(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """doc_id of the documents that an exact or near copy with a smaller doc_id stands for; doc_id is a key of docs.
 
-    Within a bucket every member is compared with a few leaders, the smallest of each part by hash, never all with all;
-    groups follow from the verified pairs, so members like no leader of any of their buckets are missed. Documents without a word are copies of each other.
+    Groups follow from the verified pairs of bucket_links. Documents without a word are copies of each other.
     """
     base = cut(set_fingerprints(docs), "near-base")
     reps = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(SET_FINGERPRINTS)]), "near-reps")
     masks = covering_masks()
     at = F.explode(F.array(*[F.struct(F.lit(len(masks) * i + j).alias("t"), F.col(f"f{i}").bitwiseAND(F.lit(signed(m))).alias("kept")) for i in range(SET_FINGERPRINTS) for j, m in enumerate(masks)])).alias("at")
-    rows = reps.select("rep", at).select("rep", "at.t", "at.kept")
-    part = F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(LEADERS))
-    led = rows.groupBy("t", "kept").agg(F.count("*").alias("n"), F.array_compact(F.array(*[F.min(F.when(part == i, F.col("rep"))) for i in range(LEADERS)])).alias("leads")).where("n > 1").drop("n")
-    met = cut(rows.join(cut(led, "near-buckets"), ["t", "kept"]), "near-met")
-    pairs = met.select("rep", F.explode("leads").alias("lead")).where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-    wanted = cut(met.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
-    sets = cut(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "near-sets")
-    edges = cut(verified(pairs, sets, similarity), "near-pairs")
+    edges = bucket_links(reps.select("rep", at).select("rep", "at.t", "at.kept"), docs, shingle, similarity)
     roots = components(edges)
     copies = base.join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id")
     return copies.union(roots.where("node <> root").select("node")).distinct()

@@ -156,6 +156,17 @@ def test_stage_removes_copies_and_near_copies_only(spark):
     assert simhash.without_near_copies(cases.documents(spark)).count() > 30
 
 
+def test_stage_compares_members_that_match_no_leader(spark):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.sample(words, 200)) for _ in range(16)]  # one set of words, so one bucket, in orders that share no shingle
+    near = texts[15].split()
+    near[60], near[61] = near[61], near[60]
+    texts.append(" ".join(near))
+    out = simhash.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.collect()} == set(range(16))
+
+
 # Mixing -----------------------------------------------------------------------------------------------------------
 
 
