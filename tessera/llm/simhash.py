@@ -125,74 +125,63 @@ def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# Near copies by shingle similarity: candidates by covering hashing of word-set fingerprints, then exact verification.
-
-#: Fingerprints of a document's set of words, each with covering tables of its own: majorities as above, and sampled ones,
-#: whose bits are each taken from the least word hash of a permutation. Documents alike in 0.8 of their five-word shingles share
-#: about 0.95 of their words; bits of majorities then differ with the angle, those of samples with half the distance
-#: of the sets, which is much less for so close a pair.
-MAJORITIES, SAMPLED = 2, 4
-SET_FINGERPRINTS = MAJORITIES + SAMPLED
+# Near copies by shingle similarity: candidates by bands of least shingle hashes, then exact verification.
+
+#: Tables of least hashes: two documents meet in one if the least hashes of their shingles agree under BAND permutations, which
+#: happens with the similarity to the power BAND. At 0.8 all TABLES fail with (1 - 0.8 ** 6) ** 32 = 6e-5, whatever the
+#: edit: the shingle sets themselves are hashed. Long bands keep unlike documents with a common passage apart.
+BAND, TABLES = 6, 32
 #: Leaders of a bucket, with which its members are compared in the first round; twice as many in each further one.
 LEADERS = 2
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 
 
-def word_set_bits(words: list[bytes]) -> np.ndarray:
-    """The MAJORITIES and then the SAMPLED fingerprints of a set of words, unsigned."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted hashes of the text's word shingles, A-Z lower-cased (fewer words: the whole sequence)."""
     from xxhash import xxh64_intdigest
 
+    w = text.lower().split()
+    return np.unique(np.fromiter([xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """For each of the TABLES a key of the set's BAND least hashes."""
     from .passages import mixed
 
-    seeds = mixed(np.arange(1, MAJORITIES + 1, dtype=np.uint64))[:, None]
-    factors = mixed(np.arange(1, 64 * SAMPLED + 1, dtype=np.uint64) << np.uint64(8))[:, None] | np.uint64(1)
-    total = np.zeros((MAJORITIES, 64), np.int64)
+    seeds = mixed(np.arange(1, BAND * TABLES + 1, dtype=np.uint64) << np.uint64(8))[:, None]
+    factors, h = mixed(~seeds) | np.uint64(1), mixed(hashes)
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for j in range(0, len(words), 4096):  # bounds the work memory of very long texts
-        h = np.fromiter(map(xxh64_intdigest, words[j : j + 4096]), np.uint64)
-        bits = np.unpackbits(mixed(h[None, :] ^ seeds).astype(">u8").view(np.uint8).reshape(MAJORITIES, len(h), 8), axis=2)
-        total += bits.sum(1, dtype=np.int64)
-        least = np.minimum(least, (h[None, :] * factors).min(1))
-    sampled = (mixed(least) & np.uint64(1)).astype(np.uint8).reshape(SAMPLED, 64)
-    return np.packbits(np.concatenate([2 * total > len(words), sampled]), axis=1).view(">u8")[:, 0].astype(np.uint64)
+    for j in range(0, len(h), 512):  # keeps the products in the cache
+        least = np.minimum(least, ((h[None, j : j + 512] ^ seeds) * factors).min(1))
+    key = np.zeros(TABLES, np.uint64)
+    for row in least.reshape(BAND, TABLES):
+        key = mixed(key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+    return key
 
 
-def set_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text), f0, f1, ...: fingerprints of the set of words, A-Z lower-cased (no words: zero)."""
-    number = SET_FINGERPRINTS
-    names = [f"f{i}" for i in range(number)]
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), *[(n, pa.int64()) for n in names]])
+def band_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, digest (SHA-256 of the text), bands: the keys of the tables."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for b in it:
             texts = [t or b"" for t in binary_list(b.column(1))]
-            fps = np.zeros((len(texts), number), np.uint64)
-            for i, t in enumerate(texts):
-                words = list(set(t.lower().split()))
-                if words:
-                    fps[i] = word_set_bits(words)
-            columns = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(number)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), *columns], schema=schema)
+            keys = [band_keys(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, hashes: the sorted hashes of the text's word shingles (fewer words: the whole sequence)."""
+    """doc_id, hashes: the text's shingle_hashes."""
     schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for b in it:
-            out = []
-            for t in binary_list(b.column(1)):
-                w = (t or b"").lower().split()
-                out.append(np.unique(np.fromiter([xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))], np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t or b"", shingle).tobytes() for t in binary_list(b.column(1))], pa.binary())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, hashes binary")
 
@@ -251,11 +240,9 @@ def copies_and_near_copies(docs: DataFrame, shingle: int = STAGE_SHINGLE, simila
 
     Groups follow from the verified pairs of bucket_links. Documents without a word are copies of each other.
     """
-    base = cut(set_fingerprints(docs), "near-base")
-    reps = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(SET_FINGERPRINTS)]), "near-reps")
-    masks = covering_masks()
-    at = F.explode(F.array(*[F.struct(F.lit(len(masks) * i + j).alias("t"), F.col(f"f{i}").bitwiseAND(F.lit(signed(m))).alias("kept")) for i in range(SET_FINGERPRINTS) for j, m in enumerate(masks)])).alias("at")
-    edges = bucket_links(reps.select("rep", at).select("rep", "at.t", "at.kept"), docs, shingle, similarity)
+    base = cut(band_sets(docs, shingle), "near-base")
+    reps = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-reps")
+    edges = bucket_links(reps.select("rep", F.posexplode("bands").alias("t", "kept")), docs, shingle, similarity)
     roots = components(edges)
     copies = base.join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id")
     return copies.union(roots.where("node <> root").select("node")).distinct()

@@ -167,6 +167,16 @@ def test_stage_compares_members_that_match_no_leader(spark):
     assert {r["doc_id"] for r in out.collect()} == set(range(16))
 
 
+def test_stage_finds_copies_with_a_passage_more_or_less(spark):
+    rng = random.Random(32)
+    texts = [cases.prose(rng, 300, 4000) for _ in range(60)]
+    for i in range(60):  # the shingle sets stay alike in 0.8 or more
+        w = texts[i].split()
+        texts.append(" ".join(w[:247] if i % 2 else w[:150] + cases.prose(rng, 60, 4000).split() + w[150:]))
+    out = simhash.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.collect()} == set(range(60))
+
+
 # Mixing -----------------------------------------------------------------------------------------------------------
 
 
