@@ -395,3 +395,16 @@ def test_more_shards(spark):
     assert ann.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=90).count() == 1000
     keys = ann.partition_keys(spark, 7)
     assert [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(F.pmod(F.hash("k"), F.lit(7))).collect()] == list(range(7))
+
+
+def test_ann_recall_in_the_largest_shard():
+    n = ann.SHARD_ROWS
+    assert n <= 10_000  # larger ones have not been measured
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 64))[rng.integers(0, 40, n)] + rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann.Shard(np.arange(n), x).answer(np.arange(200), x[:200], 20)
+    found = set(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    scores = x[:200] @ x.T
+    scores[np.arange(200), np.arange(200)] = -np.inf
+    assert np.mean([(q, v) in found for q in range(200) for v in np.argsort(-scores[q])[:20].tolist()]) >= 0.9
