@@ -39,8 +39,9 @@ def exact_sum(v: Column) -> Column:
 
 
 def sanitize(v: Column) -> Column:
-    """A number as JSON holds it: NaN is null, infinities are 'inf' and '-inf'."""
-    return F.when(F.isnan(v), None).when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").otherwise(v.cast("string"))
+    """A number as JSON holds it: NaN is null, infinities are 'inf' and '-inf'; below 1e16 no exponent for large ones."""
+    plain = F.regexp_replace(v.cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(F.isnan(v), None).when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").when((F.abs(v) >= 1e7) & (F.abs(v) < 1e16), plain).otherwise(v.cast("string"))
 
 
 def clamp_number(raw: Column, default: float, low: float, high: float) -> Column:

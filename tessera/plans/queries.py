@@ -445,7 +445,7 @@ def version_bump(spark: SparkSession, d: str) -> DataFrame:
 def sanitized(spark: SparkSession, d: str) -> DataFrame:
     e, k = load(spark, d, "events"), F.col("event_id")
     v = F.when(k % 4 == 0, float("nan")).when(k % 4 == 1, float("inf")).when(k % 4 == 2, float("-inf")).otherwise(k.cast("double"))
-    return e.where("event_id < 10000000").select("event_id", scalars.sanitize(v).alias("v"))
+    return e.select("event_id", scalars.sanitize(v).alias("v"))
 
 
 @query("SELECT event_id, greatest(5.0::DOUBLE, least(100.0::DOUBLE, coalesce(TRY_CAST(raw AS DOUBLE), 8.0::DOUBLE))) AS number, raw IN ('true', '1') AS flag FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'x' WHEN 2 THEN '1' ELSE CAST(event_id AS VARCHAR) END AS raw FROM events)")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessera.functions import mappers, scalars
 from tessera.operators import config, faults, jobs, logs, metrics, partitioning, reducers, results
+from tessera.plans import queries as plans
 from tessera.sources import tables
 from tessera.streaming.heartbeats import windowed_beats
 
@@ -260,3 +261,12 @@ def test_config():
     c = config.EngineConfig().updated(max_attempts="7", speculation="off", straggler_threshold="nan", shuffle_partitions=-5, input_rows=1e12, unknown=1, seed=None)
     assert (c.max_attempts, c.speculation, c.straggler_threshold, c.shuffle_partitions, c.input_rows, c.seed) == (7, False, 2.0, 1, 10_000_000, 42)
     assert c.spark_settings()["spark.task.maxFailures"] == "7" and c.updated() == c
+
+
+def test_sanitized_reads_all_events(spark, tmp_path):
+    import duckdb
+
+    ids = [7, 9_999_999, 10_000_000, 10_000_001, 10_000_002, 10_000_003, 12_345_678_903, 4_000_000_000_000_003]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    want = {i: (None, "inf", "-inf", duckdb.execute(f"SELECT CAST(CAST({i} AS DOUBLE) AS VARCHAR)").fetchone()[0])[i % 4] for i in ids}
+    assert {r["event_id"]: r["v"] for r in plans.QUERIES["sanitized"](spark, str(tmp_path)).collect()} == want
