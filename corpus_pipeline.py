@@ -18,8 +18,12 @@ from tessera.llm.simhash import without_near_copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that are in no language: no letter, or more than REJECT_BITS bits a byte in the likeliest one."""
-    known = predict(docs, train(docs.select("doc_id", "text", "lang")))
+    """Drop documents that are in no language: no letter, or more than REJECT_BITS bits a byte in the likeliest one. Where
+    no language can be learned, all with letters stay."""
+    trees = train(docs.select("doc_id", "text", "lang"))
+    if not trees.languages:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    known = predict(docs, trees)
     found = known[known.columns[-1]]
     return known.where((found["pred"] != UND) & (found["bits"] <= REJECT_BITS)).select(*docs.columns)
 

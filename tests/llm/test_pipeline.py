@@ -53,3 +53,8 @@ def test_empty_corpus(spark, tmp_path):
 def test_awkward_corpus(spark, tmp_path):
     cases.documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_language_stage_without_languages(spark, tmp_path):
+    docs = cases.documents(spark, ["some words", None, "12 ?? 99", "andere Worte"]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["text"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()) == ["andere Worte", "some words"]
