@@ -2,13 +2,16 @@
 
 Every source gets a token target; the document rates closest to 1 in Kullback-Leibler divergence that meet it, within
 0..cap, are r = min(cap, exp(lambda * size / mean size of the source)). The dual in lambda is convex; safeguarded Newton
-steps run on the histogram (source, size, count), since a rate depends on nothing else. Rates are then rounded into
-copies: r + hash(doc_id) + shift, rounded down, where the shift of a source is the one of two nested grids that brings
-its tokens nearest to the target. A document longer than `cut_share` of its source's target would alone throw the
-source off; its last copy is cut to the words due.
+steps run on the histogram (source, size, count), since a rate depends on nothing else.
+
+Rates are rounded into whole copies for every document alike: r + hash(doc_id) + shift, rounded down. The shift of a
+source is the one of three nested grids that brings its tokens nearest to the target. What is still missing, a document
+or less, is closed in up to FIXES steps, each giving one document of the source one copy more or less, the one whose
+size fits the gap best. A step that brings the source no nearer (several rows under one doc_id) is taken back.
 
 Defined results: null text has size 0 and takes 0; a null source is a source of its own, ordered last; repeated rows
-are mixed each for itself; an empty table gives an empty result; other columns pass through `mix_documents` untouched.
+are mixed each for itself; an empty table gives an empty result; a source whose documents admit no sum near its target
+(a lone document) ends at the nearest sum the steps find; other columns pass through `mix_documents` untouched.
 """
 
 from __future__ import annotations
@@ -16,15 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free_name, table
+from .common import WORD, as_long, cut, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: A document above this share of its source's target has its last copy cut to the words due.
-CUT_SHARE = 0.002
 NEWTON_STEPS = 60
 TOLERANCE = 1e-9
-GRID = 16
+#: Points of a grid on either side of its middle, and the nested grids.
+GRID, GRIDS = 16, 3
+#: Documents of a source that may get a copy more or less after rounding, and the miss of a target that needs none.
+FIXES, NEAR = 4, 1e-3
 
 
 def word_count(text: Column) -> Column:
@@ -87,61 +91,80 @@ def solve_duals(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFram
     return state
 
 
-def plan_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, cut_share: float = CUT_SHARE) -> DataFrame:
-    """The few numbers of every source that fix all its documents' copies: source, source_size, target, mean, lam, shift."""
+def plan_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The few numbers of every source that fix all its documents' copies: source, source_size, target, mean, lam, shift, taken, fixes."""
     sized = cut(sized.select("doc_id", "source", "size"), "mix-sizes")
     hist = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
-    duals = solve_duals(hist, source_targets(sized, weights, cap), cap).withColumn("shift", F.lit(0.0))
-    for step in (1 / GRID, 1 / GRID / (2 * GRID)):
-        rows = _with_rates(sized, duals, cap, cut_share)
-        tries = range(-GRID, GRID + 1)
-        got = [F.sum(_taken(F.col("_m.shift") + F.lit(k * step), cap)).alias(f"t{k + GRID}") for k in tries]
-        sums = rows.groupBy(F.col("_m.source").alias("g_source")).agg(F.first("_m.target").alias("g_target"), *got)
-        best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k + GRID}") - F.col("g_target")).alias("miss"), F.lit(abs(k)).alias("far"), F.lit(float(k * step)).alias("add")) for k in tries]))["add"]
-        picked = sums.select("g_source", best.alias("add"))
-        duals = cut(duals.alias("s").join(picked.alias("p"), F.col("s.source").eqNullSafe(F.col("p.g_source")), "left").select(*[F.col(f"s.{c}") for c in duals.columns if c != "shift"], (F.col("s.shift") + F.coalesce(F.col("p.add"), F.lit(0.0))).alias("shift")), "mix-shift")
-    return duals
-
-
-def _with_rates(rows: DataFrame, duals: DataFrame, cap: int, cut_share: float) -> DataFrame:
+    fix = "array<struct<doc_id:bigint,size:bigint,add:int>>"
+    plan = solve_duals(hist, source_targets(sized, weights, cap), cap).drop("lo", "hi", "miss").withColumns({"shift": F.lit(0.0), "taken": F.lit(0).cast("long"), "fixes": F.array().cast(fix)})
+    for level in range(GRIDS):
+        tries = [k / GRID / (2 * GRID) ** level for k in range(-GRID, GRID + 1)]
+        got = [F.sum(F.col("_m.size") * copies(cap, F.lit(t))).alias(f"t{i}") for i, t in enumerate(tries)]
+        sums = with_rates(sized, plan, cap).groupBy(F.col("_m.source").alias("g_source")).agg(F.first("_m.target").alias("g_target"), *got)
+        best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("g_target")).alias("miss"), F.lit(abs(t)).alias("far"), F.lit(t).alias("add"), F.col(f"t{i}").alias("got")) for i, t in enumerate(tries)]))
+        picked = sums.select("g_source", best.alias("best"))
+        plan = cut(_beside(plan, picked, {"shift": F.col("s.shift") + F.coalesce(F.col("p.best.add"), F.lit(0.0)), "taken": F.coalesce(F.col("p.best.got"), F.lit(0)).cast("long")}), "mix-shift")
+    gap = F.col("target") - F.col("taken")
+    for _ in range(FIXES):
+        if plan.where(F.abs(gap) > F.lit(NEAR) * F.col("target")).isEmpty():
+            break
+        plan = _fixed(sized, plan, cap)
+    return plan
+
+
+def _beside(plan: DataFrame, other: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """plan with new columns, from the row of other for the same source if there is one."""
+    j = plan.alias("s").join(other.alias("p"), F.col("s.source").eqNullSafe(F.col("p.g_source")), "left")
+    return j.select(*[new[c].alias(c) if c in new else F.col(f"s.{c}") for c in plan.columns])
+
+
+def _fixed(sized: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
+    """plan with one more document that gets a copy more or less in every source that comes nearer to its target by it."""
+    m = F.col("_m")
+    miss = m["target"] - m["taken"]
+    add = F.when(miss > 0, 1).otherwise(-1)
+    may = (m["size"] > 0) & F.when(miss > 0, copies(cap) < cap).otherwise(copies(cap) > 0) & (m["size"] < 2 * F.abs(miss))
+    order = F.struct(F.abs(F.abs(miss) - m["size"]), F.col("doc_id"))
+    chosen = with_rates(sized, plan, cap).where(may).groupBy(F.col("_m.source").alias("g_source")).agg(F.min_by(F.struct("doc_id", "size", add.cast("int").alias("add")), order).alias("one"))
+    tried = cut(_beside(plan, chosen, {"fixes": F.when(F.col("p.one").isNull(), F.col("s.fixes")).otherwise(F.concat(F.col("s.fixes"), F.array("p.one")))}), "mix-fix")
+    sums = with_rates(sized, tried, cap).groupBy(F.col("_m.source").alias("g_source")).agg(F.sum(m["size"] * copies(cap)).alias("got"))
+    nearer = F.abs(F.col("s.target") - F.col("p.got")) < F.abs(F.col("s.target") - F.col("s.taken"))
+    last = F.when(F.size("s.fixes") > 0, F.slice(F.col("s.fixes"), F.lit(1), F.size("s.fixes") - 1)).otherwise(F.col("s.fixes"))
+    # where nothing was tried, the sum is the one before and the last fix has to stay
+    same = F.col("p.got").isNull() | (F.col("p.got") == F.col("s.taken"))
+    return cut(_beside(tried, sums, {"taken": F.when(nearer, F.col("p.got")).otherwise(F.col("s.taken")), "fixes": F.when(nearer | same, F.col("s.fixes")).otherwise(last)}), "mix-fix")
+
+
+def with_rates(rows: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
     """rows (doc_id, source, size and whatever else) with a struct _m of their rate and their source's numbers; the join is on the source, whose side is a row for each."""
-    j = rows.alias("d").join(duals.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    j = rows.alias("d").join(plan.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     size = F.col("d.size")
     rate = F.when(size == 0, 0.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("s.lam") * size / F.col("s.mean"), F.lit(50.0)))))
     unit = F.xxhash64(F.col("d.doc_id"), F.lit(7)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    long = size > F.col("s.target") * cut_share
-    return j.select("d.*", F.struct("s.source", "s.source_size", "s.target", "s.shift", rate.alias("rate"), unit.alias("unit"), long.alias("long"), size.alias("size")).alias("_m"))
-
-
-def _taken(shift: Column, cap: int) -> Column:
-    """Words taken of a row: whole copies by the shifted rounding, or for a long document the words due."""
-    m, size = F.col("_m"), F.col("_m.size")
-    copies = F.least(F.lit(cap), F.greatest(F.lit(0), F.floor(m["rate"] + m["unit"] + shift)))
-    return F.when(m["long"], F.least(F.floor(m["rate"] * size + m["unit"]), cap * size)).otherwise(size * copies).cast("long")
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, cut_share: float = CUT_SHARE) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, rate, copies (whole ones), extra (words of a last, cut copy), taken."""
-    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
-    rows = _with_rates(sized, plan_sources(sized, weights, cap, cut_share), cap, cut_share).withColumn("taken", _taken(F.col("_m.shift"), cap))
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).otherwise(0).cast("long")
-    return rows.select("doc_id", "source", "size", "_m.source_size", "_m.target", "_m.rate", copies.alias("copies"), (F.col("taken") - copies * F.col("size")).alias("extra"), "taken")
-
-
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, cut_share: float = CUT_SHARE) -> DataFrame:
-    """The mixed corpus: every row of docs as often as the mix takes it, all columns kept; a cut copy holds its first words, joined by one space."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
-    rows = _with_rates(rows, plan_sources(rows, weights, cap, cut_share), cap, cut_share).withColumn("taken", _taken(F.col("_m.shift"), cap)).where("taken > 0")
-    copies = F.floor(F.col("taken") / F.col("size")).cast("int")
-    rows = rows.withColumn("copies", copies).withColumn("extra", (F.col("taken") - copies * F.col("size")).cast("int"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies") + F.when(F.col("extra") > 0, 1).otherwise(0))))
-    short = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra")), " ")
-    partial = F.col("copy") > F.col("copies")
-    out = {c: F.col("row")[c] for c in docs.columns}
-    out["text"] = F.when(partial, short).otherwise(out["text"])
-    if "n_chars" in out:
-        out["n_chars"] = F.when(partial, F.length(short).cast("long")).otherwise(out["n_chars"])
-    return rows.select(*[c.alias(k) for k, c in out.items()])
+    fix = F.col("s.fixes")
+    mine = [F.when(F.get(fix, F.lit(i))["doc_id"].eqNullSafe(F.col("d.doc_id")) & (F.get(fix, F.lit(i))["size"] == size), F.get(fix, F.lit(i))["add"]).otherwise(0) for i in range(FIXES)]
+    return j.select("d.*", F.struct("s.source", "s.source_size", "s.target", "s.shift", "s.taken", rate.alias("rate"), unit.alias("unit"), sum(mine[1:], mine[0]).alias("fix"), size.alias("size")).alias("_m"))
+
+
+def copies(cap: int, further: Column | float = 0.0) -> Column:
+    """Whole copies taken of a row of with_rates, with a further shift."""
+    m = F.col("_m")
+    rounded = F.least(F.lit(cap), F.greatest(F.lit(0), F.floor(m["rate"] + m["unit"] + m["shift"] + further)))
+    return F.when(m["size"] > 0, F.least(F.lit(cap), F.greatest(F.lit(0), rounded + m["fix"]))).otherwise(0).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, rate, copies, taken."""
+    sized = cut(docs.select(as_long("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    rows = with_rates(sized, plan_sources(sized, weights, cap), cap).withColumn("copies", copies(cap))
+    return rows.select("doc_id", "source", "size", "_m.source_size", "_m.target", "_m.rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The mixed corpus: every row of docs as often as the mix takes it, all columns kept."""
+    rows = docs.select(as_long("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    rows = with_rates(rows, plan_sources(rows, weights, cap), cap).select("row", copies(cap).cast("int").alias("n")).where("n > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,8 +208,9 @@ def test_mixing_meets_targets(spark):
     for source, target in want.items():
         mine = [r for r in got if r["source"] == source]
         assert all(r["source_size"] == sizes[source] and abs(r["target"] - target) < 1e-6 * max(1, target) for r in mine)
-        assert all(0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"] + r["extra"] for r in mine)
-        assert abs(sum(r["taken"] for r in mine) - target) <= max(2 + len(mine), 0.01 * target)
+        assert all(0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in mine)
+        # whole copies: no farther off than a hundredth, or half the largest document of a source of few
+        assert abs(sum(r["taken"] for r in mine) - target) <= max(0.01 * target, max(r["size"] for r in mine) / 2 if len(mine) < 10 else 0)
     again = mixing.mix(docs.repartition(5)).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in got)
     mixed = mixing.mix_documents(docs)
