@@ -9,11 +9,13 @@ a diverse few, and backward edges are pruned alike. All points of a round are se
 Rows with one and the same vector are one point of the graph, and are all found with it.
 
 Every query beams through every shard's graph; its shard answers are merged by rank, so only k rows for each query
-and shard are shuffled. The score is the inner product of the original vectors in double precision.
+and shard are shuffled. A shard no larger than a beam is scanned. The score is the inner product of the original
+vectors in double precision.
 
 Defined results: vectors null, empty, all zero or holding null or non-finite components take no part, nor do those of
-another length than the most frequent one; a query finds all candidates if there are fewer than k; a repeated vec_id
-is the query's own row in every copy; an empty table gives an empty result.
+another length than the most frequent one (ties: the shorter); a query finds all candidates if there are fewer than k.
+Rows of one vec_id are one candidate, at the best of their scores, and one query, with the first of their vectors in
+component order; none of them is among that query's answers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,6 +70,7 @@ class Graph:
             self.entry = seed[np.argsort(((self.points[seed] - centre) ** 2).sum(1))[: max(1, degree // 4)]].astype(np.int64)
         for p in seed:
             self.set_edges(p, self.prune(p, seed[seed != p]))
+        self.link_back(seed)
         done = first
         while done < n:
             step = order[done : done + max(1, min(done, 4096))]
@@ -102,15 +105,17 @@ class Graph:
         return c[kept]
 
     def link_back(self, new: np.ndarray) -> None:
-        """Edges from their neighbours back to new points, which no list has yet; lists that overflow are pruned."""
+        """Edges from their neighbours back to new points, where they are missing; lists that overflow are pruned."""
         heads = np.repeat(new, self.count[new])
         tails = self.out[new][self.out[new] >= 0]
+        if not len(tails):
+            return
         order = np.argsort(tails, kind="stable")
         tails, heads = tails[order], heads[order]
         at = np.flatnonzero(np.diff(tails, prepend=-1))
         for t, h in zip(tails[at], np.split(heads, at[1:]), strict=True):
             old = self.out[t, : self.count[t]]
-            both = np.concatenate([old, h])
+            both = np.concatenate([old, h[~np.isin(h, old)]])
             self.set_edges(t, both if len(both) <= self.degree else self.prune(t, both))
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,13 +162,6 @@ class Graph:
         return ids, dist
 
 
-def partition_keys(spark: SparkSession, n: int) -> list[int]:
-    """For each of n partitions a number that Spark's hash sends there, so that shards and tasks match one to one."""
-    keys = spark.range(n * (40 + n.bit_length())).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("k")).collect()
-    known = {r["p"]: r["k"] for r in keys}
-    return [known.get(p, p) for p in range(n)]
-
-
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 FOUND_DDL = "query_id long, vec_id long, score double"
 
@@ -188,16 +186,18 @@ class Shard:
         """The k best candidates for each query, scored exactly; of rows with one vector the smallest ids come first, so k + 1 of them do."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         beam = max(QUERY_BEAM, 3 * k)
+        every = np.arange(len(self.vectors)) if len(self.vectors) <= beam else None
         for i in range(0, len(queries), TOGETHER):
             q = queries[i : i + TOGETHER]
-            found = self.graph.search(np.hstack([q, np.zeros((len(q), 1))]), beam)[0]
+            found = self.graph.search(np.hstack([q, np.zeros((len(q), 1))]), beam)[0] if every is None else [every] * len(q)
             for qid, x, near in zip(query_ids[i : i + TOGETHER], q, found, strict=True):
                 near = near[near >= 0]
                 n = np.minimum(self.count[near], k + 1)
                 ids = self.ids[np.repeat(self.start[near] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 score = np.repeat((self.vectors[near] * x).sum(1), n)
                 top = np.lexsort((ids, -score))
-                top = top[ids[top] != qid][:k]
+                top = top[ids[top] != qid]
+                top = top[np.sort(np.unique(ids[top], return_index=True)[1])][:k]  # an id once, at its best score
                 out.append((np.full(len(top), qid), ids[top], score[top]))
         parts = [np.concatenate([o[j] for o in out]) if out else np.empty(0) for j in range(3)]
         return pa.RecordBatch.from_arrays([pa.array(p, f.type) for p, f in zip(parts, FOUND, strict=True)], schema=FOUND)
@@ -210,14 +210,15 @@ def nearest(rows: DataFrame, is_query, k: int = K, shard_rows: int = SHARD_ROWS)
     """
     spark = rows.sparkSession
     small_batches(spark)
-    good = cut(usable(rows), "ann-vectors")
+    good = cut(usable(rows).dropDuplicates(), "ann-vectors")
     count = good.count()
     shards = max(1, min(spark.sparkContext.defaultParallelism, count // 500 + 1), -(-count // shard_rows))
     path = work_dir(spark, "ann-queries")
-    good.where(is_query).write.parquet(path)
+    good.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).write.parquet(path)
     shard = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)).cast("int")
     rows = good.select(shard.alias("shard"), "vec_id", "embedding")
-    dealt = rows.repartition(shards, F.element_at(F.array(*[F.lit(x).cast("long") for x in partition_keys(spark, shards)]), F.col("shard") + 1)).sortWithinPartitions("shard", "vec_id")
+    # a task for each shard: the shard's number is the partition's
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "vec_id")
 
     def answers(own: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds

@@ -394,8 +394,56 @@ def test_more_shards(spark):
     rng = np.random.default_rng(3)
     df = vectors(spark, [(i, [float(v) for v in rng.normal(size=8)], 0) for i in range(1000)])
     assert ann.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=90).count() == 1000
-    keys = ann.partition_keys(spark, 7)
-    assert [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(F.pmod(F.hash("k"), F.lit(7))).collect()] == list(range(7))
+
+
+def test_repeated_ids_are_one_query_and_one_candidate(spark):
+    rng = np.random.default_rng(4)
+    x = [[float(v) for v in rng.normal(size=6)] for _ in range(60)]
+    rows = [(i, v, 0) for i, v in enumerate(x)] + [(20, x[20], 1), (20, x[21], 0), (7, [-v for v in x[7]], 0), (7, x[7], 0)]
+    got: dict = {}
+    for r in ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    single = {}
+    for i, v, _ in rows:
+        single.setdefault(i, []).append(np.array(v, np.float32).astype(float))
+    assert set(got) == {0, 20, 40}
+    for q, answers in got.items():
+        mine = min(single[q], key=list)
+        want = sorted((-max(float(v @ mine) for v in vs), i) for i, vs in single.items() if i != q)[:20]
+        assert [(k, v) for k, v, _ in answers] == [(n + 1, i) for n, (_, i) in enumerate(want)]
+        assert all(s == pytest.approx(-w[0], abs=1e-12) for (_, _, s), w in zip(answers, want, strict=True))
+
+
+def test_all_candidates_are_found_if_they_are_few(spark):
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 5, 15, 20, 21):
+        x = rng.normal(size=(2, 5))[rng.integers(0, 2, n)] * 50 + rng.normal(size=(n, 5))
+        df = vectors(spark, [(i, [float(v) for v in row], 0) for i, row in enumerate(x)])
+        assert ann.nearest(df, F.col("vec_id") == 0).count() == min(20, n - 1)
+
+
+def test_graph_points_are_reachable():
+    rng = np.random.default_rng(12)
+    for n in (3, 21, 64, 150, 400):
+        x = rng.normal(size=(3, 8))[rng.integers(0, 3, n)] * 20 + rng.normal(size=(n, 8))
+        found = ann.Graph(x).search(np.zeros((1, 9)), n)[0]
+        assert (found >= 0).sum() >= 0.99 * n
+
+
+def test_op10_recall_on_the_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    found: dict = {}
+    for r in ann.op10_pruned_graph(spark, sf).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(found) == {i for i in ids.tolist() if i % 20 == 0}
+    hits = 0
+    for q, mine in found.items():
+        score = np.where(ids == q, -np.inf, x @ rows[q])
+        hits += len(mine & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert hits >= 0.9 * 20 * len(found)
 
 
 def test_ann_recall_in_the_largest_shard():
