@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401  pa.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +32,34 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Work folders of this process that still hold something.
+FOLDERS: list[str] = []
+
+
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir. Only where that is unset, as in tests on one machine, under a temporary folder
-    of this process, which goes with it."""
+    """A new folder under spark.checkpoint.dir. Only a local master may do without that setting, as in tests on one machine:
+    it gets a temporary folder of this process, which goes with it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessera.work.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
         spark.conf.set("tessera.work.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    FOLDERS.append(f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    return FOLDERS[-1]
+
+
+def discard(*folders: str | DataFrame) -> None:
+    """Delete work folders, given by path or by the table that `cut` read from them, which nothing will read any more."""
+    for f in folders:
+        path = f if isinstance(f, str) else f.__dict__.get("work_folder")
+        if path in FOLDERS:
+            FOLDERS.remove(path)
+            store, folder = open_store(path)
+            if store.get_file_info(folder).type != pa.fs.FileType.NotFound:
+                store.delete_dir(folder)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
@@ -48,7 +67,9 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_folder = path
+    return out
 
 
 def binary_list(column: pa.Array) -> list[bytes | None]:
@@ -71,13 +92,11 @@ def as_long(c: str) -> Column:
 
 def open_store(uri: str):
     """(filesystem, path) of a URI, for tasks: local, HDFS or an object store through Arrow."""
-    from pyarrow import fs
-
     if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
+        return pa.fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+        return pa.fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+    return pa.fs.FileSystem.from_uri(uri)
 
 
 class ShardWriter:

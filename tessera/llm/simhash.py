@@ -19,33 +19,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import binary_list, cut, small_batches, table
+from .common import binary_list, cut, discard, small_batches, table
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 
 
-def fingerprint_bits(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of a whole text (A-Z lower-cased), unsigned."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the word shingles of a whole text (A-Z lower-cased), repeats included; fewer words: the whole sequence; none: nothing."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    stops = ends[min(shingle, len(words)) - 1 :].tolist()
+    starts, stops = np.concatenate([[0], ends[:-1] + 1])[:n], ends[min(shingle, len(words)) - 1 :]
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, 65536):  # bounds the slices of very long texts
+        out[i : i + 65536] = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[i : i + 65536].tolist(), stops[i : i + 65536].tolist())]
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned number."""
     total = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):  # bounds the unpacked bits of very long texts
-        h = np.fromiter([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[i : i + 65536], stops[i : i + 65536])], np.uint64)
-        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    for i in range(0, len(hashes), 65536):
+        total += np.unpackbits(hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big") if len(hashes) else 0
+
+
+def fingerprint_bits(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a whole text, unsigned."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -97,7 +109,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "cc-large")
         least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = cut(small, "cc-edges")
+        after = cut(small, "cc-edges")
+        discard(edges, low, large, least)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
@@ -125,23 +139,22 @@ def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# Near copies by shingle similarity: candidates by bands of least shingle hashes, then exact verification.
+# Near copies by shingle similarity: candidates by covering tables and by bands of least hashes, then exact verification.
 
-#: Tables of least hashes: two documents meet in one if the least hashes of their shingles agree under BAND permutations, which
+#: Tables of least hashes: two texts meet in one if the least hashes of their shingles agree under BAND permutations, which
 #: happens with the similarity to the power BAND. At 0.8 all TABLES fail with (1 - 0.8 ** 6) ** 32 = 6e-5, whatever the
-#: edit: the shingle sets themselves are hashed. Long bands keep unlike documents with a common passage apart.
+#: edit: the shingle sets themselves are hashed. Long bands keep unlike texts with a common passage apart.
 BAND, TABLES = 6, 32
-#: Leaders of a bucket, with which its members are compared in the first round; twice as many in each further one.
-LEADERS = 2
+#: Leaders of a bucket in the first round, with which its members are compared; LEADERS times more in each further one.
+LEADERS = 4
+#: Members beyond which a bucket that has outlasted the first round is split by shingles.
+WIDE = 64
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 
 
-def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
-    """The sorted hashes of the text's word shingles, A-Z lower-cased (fewer words: the whole sequence)."""
-    from xxhash import xxh64_intdigest
-
-    w = text.lower().split()
-    return np.unique(np.fromiter([xxh64_intdigest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))], np.uint64))
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """The different hashes, sorted; texts without a word have one set in common."""
+    return np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -153,41 +166,52 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for j in range(0, len(h), 512):  # keeps the products in the cache
         least = np.minimum(least, ((h[None, j : j + 512] ^ seeds) * factors).min(1))
-    key = np.zeros(TABLES, np.uint64)
+    key = np.arange(TABLES, dtype=np.uint64)
     for row in least.reshape(BAND, TABLES):
         key = mixed(key ^ row) * np.uint64(0x9E3779B97F4A7C15)
     return key
 
 
-def band_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text), bands: the keys of the tables."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs as doc_id, text, digest (SHA-256 of the text, null as empty), row_hash (of all columns), row."""
+    def plain(field: T.StructField) -> Column:
+        c = F.col("`" + field.name.replace("`", "``") + "`")
+        return F.to_json(F.struct(c)) if isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType) else c
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row_hash = F.xxhash64(*[plain(f) for f in docs.schema.fields])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"), row_hash.alias("row_hash"), F.struct("*").alias("row"))
+
+
+def sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, digest, row_hash of keyed rows with fp, the fingerprint, and bands, the keys of the tables."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("row_hash", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = [t or b"" for t in binary_list(b.column(1))]
-            keys = [band_keys(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            hashes = [shingle_hashes(t, shingle) for t in binary_list(b.column(3))]
+            fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            keys = [band_keys(shingle_set(h)).view(np.int64) for h in hashes]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary()), b.column(2), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    small_batches(rows.sparkSession)
+    return rows.select("doc_id", "digest", "row_hash", "text").mapInArrow(run, "doc_id long, digest binary, row_hash long, fp long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, hashes: the text's shingle_hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes (the shingle_set) of texts (node, text)."""
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t or b"", shingle).tobytes() for t in binary_list(b.column(1))], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(shingle_hashes(t, shingle)).tobytes() for t in binary_list(b.column(1))], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, hashes binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
 
 
-def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose shingle sets have a Jaccard similarity of `similarity` or more."""
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (node, hashes, size) have a Jaccard similarity of `similarity` or more; sizes that
+    exclude it are seen before any set is sent."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,60 +219,112 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             good = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if similarity * max(len(x), len(y)) <= min(len(x), len(y)) else 0
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=schema)
 
-    x, y = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def bucket_links(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Verified edges (a, b), a > b, of the members `rep` that rows (rep, t, kept) put into one bucket.
-
-    In rounds, every member is compared with the leaders of its buckets, the smallest of each part by hash. Then leaders
-    leave their buckets, and members with a smaller near copy leave all: they are gone anyway. The rest meets new leaders,
-    twice as many as before, until no bucket has two members. So any two members of a bucket without a smaller near copy are compared.
+    sizes = sets.select("node", "size")
+    pairs = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b").where(F.least("m", "n") >= similarity * F.greatest("m", "n")).select("a", "b")
+    x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def split_wide(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Buckets (key, node) in which all pairs of `similarity` or more among the nodes of rows meet again: with shingles ordered
+    by the number of sets that hold them, rarest first, two such sets share one of their first n - ceil(similarity * n) + 1."""
+    nodes = rows.select("node").distinct()
+    held = sets.join(nodes, "node").select("node", "size", F.explode(F.expr("sequence(0, cast(size as int) - 8, 8)")).alias("at"), "hashes")
+    held = cut(held.select("node", (F.col("size") / 8).cast("long").alias("n"), F.substring("hashes", F.col("at") + 1, F.lit(8)).alias("shingle")), "near-held")
+    often = held.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    # a shingle of one set only meets nothing, but takes its place in the order
+    rare = held.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    first = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    return rare.withColumn("place", first).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1) & (F.col("often") > 1)).select(F.xxhash64("shingle").alias("key"), "node")
+
+
+def similar_groups(rows: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """node, root of the components under `similarity`, over all pairs of nodes that rows (key, node) put into one bucket and
+    the candidates edges (a, b); nodes alone have no row.
+
+    A bucket lives while its members have different roots. In rounds its leaders, some of those that aren't of the root
+    of a member picked at random, are compared with all its members of other roots, and leave it. So of any two members
+    either one was a leader beside the other, or they came to have one root: no link is lost, and a bucket of thousands
+    of near copies takes a few rows a member, never its square. A bucket that stays wide is split by shingles once.
     """
-    spark, parts, found, sets = docs.sparkSession, LEADERS, [], None
-    while True:
-        part = F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(parts))
-        led = rows.groupBy("t", "kept", part.alias("part")).agg(F.count("*").alias("n"), F.min("rep").alias("lead")).groupBy("t", "kept").agg(F.sum("n").alias("n"), F.collect_list("lead").alias("leads")).where("n > 1").drop("n")
-        met = cut(rows.join(cut(led, "near-buckets"), ["t", "kept"]), "near-met")
-        if met.isEmpty():
-            break
-        if sets is None:
-            wanted = cut(met.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
-            sets = cut(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "near-sets")
-            sizes = cut(sets.select("doc_id", F.octet_length("hashes").alias("size")), "near-sizes")
-        pairs = met.select("rep", F.explode("leads").alias("lead")).where("rep <> lead").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-        pairs = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("m")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("n")), "b")
-        pairs = pairs.where(F.least("m", "n") >= similarity * F.greatest("m", "n")).select("a", "b")
-        found.append(cut(verified(pairs, sets, similarity), "near-pairs"))
-        gone = found[-1].select(F.col("a").alias("rep")).distinct()
-        rows = cut(met.where(~F.array_contains("leads", F.col("rep"))).select("rep", "t", "kept").join(gone, "rep", "left_anti"), "near-rest")
-        parts *= 2
-    out = spark.createDataFrame([], "a long, b long")
-    for f in found:
-        out = out.union(f)
-    return out
-
-
-def copies_and_near_copies(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
-    """doc_id of the documents that an exact or near copy with a smaller doc_id stands for; doc_id is a key of docs.
+    def grouped(found: DataFrame, known: DataFrame | None) -> DataFrame:
+        old = found.select("a", "b") if known is None else found.select("a", "b").union(known.select("node", "root"))
+        return cut(components(old), "near-roots")
 
-    Groups follow from the verified pairs of bucket_links. Documents without a word are copies of each other.
+    roots = grouped(verified(edges, sets, similarity), None)
+    leaders, split = LEADERS, False
+    while True:
+        own = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        one = F.min_by("root", F.struct(F.xxhash64("node", F.lit(leaders)), "node"))
+        state = own.groupBy("key").agg(one.alias("main"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+        live = cut(own.join(state.select("key", "main", "n"), "key"), "near-live")
+        if live.isEmpty():
+            return roots
+        if leaders > LEADERS and not split:
+            split = True
+            wide = live.where(F.col("n") > WIDE)
+            if not wide.isEmpty():
+                rows = cut(live.where(F.col("n") <= WIDE).select("key", "node").union(split_wide(wide, sets, similarity)), "near-rows")
+                continue
+        part = F.pmod(F.xxhash64("node", F.lit(13)), F.lit(leaders))
+        led = live.where("root <> main").groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("lead")).groupBy("key").agg(F.collect_list("lead").alias("leads"))
+        met = cut(live.join(led, "key").select("key", "node", "root", "leads"), "near-met")
+        pairs = met.select("node", "root", F.explode("leads").alias("lead")).where("root <> lead.root").select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
+        found = cut(verified(pairs, sets, similarity), "near-found")
+        rows = cut(met.where(~F.exists("leads", lambda x: x["node"] == F.col("node"))).select("key", "node"), "near-rows")
+        roots = grouped(found, roots)
+        discard(live, met, found)
+        leaders *= LEADERS
+
+
+def near_copy_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Groups of rows with equal or similar texts: keep (digest, row_hash) of the row that stands for each group, and the base
+    table of sketches.
+
+    Every different text is a node. Candidates are the covering tables' links between five-word fingerprints (radius
+    RADIUS, as op6) and the buckets of bands; links are the candidates of `similarity` or more; groups their components.
+    """
+    rows = keyed(docs)
+    base = cut(sketches(rows, shingle), "near-base")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
+    reps = cut(base.groupBy("digest").agg(F.min(own).alias("own"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "near-reps")
+    fps = cut(reps.groupBy("fp").agg(F.min("node").alias("low")), "near-fps")
+    same = reps.join(fps, "fp").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    covered = links(fps.select("fp")).join(fps.toDF("a", "a_node"), "a").join(fps.toDF("b", "b_node"), "b").select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
+    edges = cut(same.union(covered).distinct(), "near-covered")
+    banded = reps.select("node", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = cut(banded.join(shared, "key"), "near-rows")
+    wanted = buckets.select("node").union(edges.select("a")).union(edges.select("b")).distinct()
+    wanted = cut(reps.join(wanted, "node").select("node", "digest", F.col("own.row_hash").alias("row_hash")), "near-wanted")
+    texts = rows.select("digest", "row_hash", "text").join(wanted, ["digest", "row_hash"])
+    sets = cut(shingle_sets(texts, shingle).dropDuplicates(["node"]).withColumn("size", F.octet_length("hashes")), "near-sets")
+    roots = similar_groups(buckets, edges, sets, similarity)
+    members = reps.select("node", "digest", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keep = members.groupBy("root").agg(F.min(F.struct("own", "digest")).alias("first")).select("first.digest", F.col("first.own.row_hash").alias("row_hash"))
+    return keep, base
+
+
+def without_near_copies(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """docs with one row of each group of exact and near copies, the one with the smallest doc_id; all columns kept.
+
+    Defined results: a null text is an empty one, and texts without a word are copies of each other; null ids come last;
+    rows that are equal in all columns leave one; different texts under one doc_id are texts of their own; of rows with
+    one text and doc_id the one with the smallest hash stays; an empty table gives an empty result.
     """
-    base = cut(band_sets(docs, shingle), "near-base")
-    reps = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-reps")
-    edges = bucket_links(reps.select("rep", F.posexplode("bands").alias("t", "kept")), docs, shingle, similarity)
-    roots = components(edges)
-    copies = base.join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id")
-    return copies.union(roots.where("node <> root").select("node")).distinct()
-
-
-def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of exact and near copies, the one with the smallest doc_id; all columns kept."""
-    gone = cut(copies_and_near_copies(docs).withColumnRenamed("doc_id", "gone_id"), "near-gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    keep, base = near_copy_groups(docs, shingle, similarity)
+    keep = cut(keep, "near-keep")
+    counts = base.groupBy("digest", "row_hash").agg(F.count("*").alias("n"))
+    # what goes is less than what stays; equal rows that stay leave one by a second way, where there are such
+    gone = cut(counts.join(keep, ["digest", "row_hash"], "left_anti").select("digest", "row_hash"), "near-gone")
+    several = cut(counts.where("n > 1").join(keep, ["digest", "row_hash"]).select("digest", "row_hash"), "near-several")
+    left = keyed(docs).select("digest", "row_hash", "row").join(gone, ["digest", "row_hash"], "left_anti")
+    if not several.isEmpty():
+        once = left.join(several, ["digest", "row_hash"]).dropDuplicates(["digest", "row_hash"])
+        left = left.join(several, ["digest", "row_hash"], "left_anti").unionByName(once)
+    return left.select("row.*")
