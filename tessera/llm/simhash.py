@@ -277,7 +277,8 @@ def similar_groups(rows: DataFrame, edges: DataFrame, sets: DataFrame, similarit
         pairs = met.select("node", "root", F.explode("leads").alias("lead")).where("root <> lead.root").select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
         found = cut(verified(pairs, sets, similarity), "near-found")
         rows = cut(met.where(~F.exists("leads", lambda x: x["node"] == F.col("node"))).select("key", "node"), "near-rows")
-        roots = grouped(found, roots)
+        if not found.isEmpty():
+            roots = grouped(found, roots)
         discard(live, met, found)
         leaders *= LEADERS
 

@@ -177,6 +177,70 @@ def test_stage_finds_copies_with_a_passage_more_or_less(spark):
     assert {r["doc_id"] for r in out.collect()} == set(range(60))
 
 
+def exact_groups(texts, similarity=0.8):
+    """Groups of indexes of texts whose sets of five-word shingles are alike, by an inverted index over all of them."""
+    import collections
+
+    sets = []
+    for t in texts:
+        w = cases.words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    links = {i: {i} for i in range(len(texts))}
+    for i, s in enumerate(sets):
+        both = collections.Counter(j for x in s for j in holders[x] if j < i)
+        for j, n in both.items():
+            if n >= similarity * (len(s) + len(sets[j]) - n):
+                links[i].add(j), links[j].add(i)
+    return cases.components(links)
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "edited"])
+def test_stage_equals_an_exact_join(spark, table):
+    if table == "sf0.01":
+        docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    else:  # chains of edits, inserted passages, cut ends
+        rng = random.Random(77)
+        texts = []
+        for _ in range(25):
+            w = [f"x{rng.randrange(5000)}" for _ in range(rng.randrange(30, 300))]
+            for _ in range(rng.randrange(1, 9)):
+                texts.append(" ".join(w))
+                at = rng.randrange(len(w))
+                w = [w[:at] + [f"y{rng.randrange(5000)}"] + w[at + 1 :], w[:at] + [f"z{rng.randrange(5000)}" for _ in range(len(w) // 12)] + w[at:], w[: len(w) - len(w) // 11]][rng.randrange(3)]
+        docs = cases.documents(spark, texts)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    root = exact_groups([t for _, t in rows])
+    assert {r["doc_id"] for r in simhash.without_near_copies(docs).collect()} == {rows[i][0] for i in set(root.values())}
+
+
+def test_stage_with_hundreds_of_unlike_members_in_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE", 16)
+    rng = random.Random(41)
+    shared = cases.prose(rng, 150, 4000)  # a passage in all: similar in 0.6 or so, so many least hashes agree
+    texts = [f"{shared} {cases.prose(rng, 45, 4000)}" for _ in range(250)]
+    near = texts[140].split()
+    near[170] = "changed"
+    texts.append(" ".join(near))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.without_near_copies(docs).collect()} == set(range(250))
+
+
+def test_stage_with_repeated_and_null_ids(spark):
+    rng = random.Random(42)
+    a, b, c, d = (cases.prose(rng, 80, 4000) for _ in range(4))
+    rows = [(5, a, 0), (5, b, 0), (2, a, 0), (1, c, 0), (1, c, 0), (1, c, 1), (None, d, 0), (None, d, 0), (None, b + " more", 0), (7, None, 0), (8, "", 0), (9, " ", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumn("tags", F.array(F.lit("x"))).withColumn("row_hash", F.lit("own")).withColumn("m", F.create_map(F.lit("k"), F.col("n")))
+    out = simhash.without_near_copies(docs)
+    assert out.columns == docs.columns
+    # no unique text is lost, whatever its id; of equal rows one stays, and a null id gives way to others
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == sorted([(False, 2, a), (False, 5, b), (False, 1, c), (True, 0, d), (False, 7, "")])
+
+
 # Mixing -----------------------------------------------------------------------------------------------------------
 
 
