@@ -1,9 +1,10 @@
 """Substring removal by words with relative Lempel-Ziv parsing: words covered by a 20-word window that also starts earlier go.
 
-The segments that `passages` cannot settle by hashes meet by anchor. A key's earlier segments are the reference block,
-indexed by window; each next segment is factored greedily against it: the longest match from a place on is a factor if
-it spans a window or more. All windows inside a factor repeat; those across its end are looked up one by one, since they
-may occur elsewhere in the reference. A segment's new windows then join the reference.
+The texts that `passages` lets meet under a key, in document order, are a reference block and what is factored against
+it: the block of a document that others point to, or a key's earlier segments. The reference is indexed by window; each
+next text is factored greedily against all of it: the longest match from a place on is a factor if it spans a window or
+more. All windows inside a factor repeat; those across its end are looked up one by one, since they may occur elsewhere
+in the reference. A text's new windows then join the reference.
 
 Defined results: as in `suffixes`, with words for bytes; kept words are joined by one space, unchanged.
 """

@@ -4,18 +4,19 @@ A window is W units in a row (bytes or words) of one document; wanted are all wi
 Each window is filed under its anchor, the least hash among its grams of k units: equal windows have equal anchors.
 Neighbouring windows with one anchor form a segment, so a document has about 2 / (W - k + 2) segments for each unit.
 
-1. Segments become rows (key = anchor hash, sig = hash of the segment, place). A task first drops to runs what repeats
-   within its own rows; a key therefore meets each sig once a task.
-2. Rows are grouped by key. A sig seen earlier makes the whole segment repeated. A sig that comes first, under a key
-   with several sigs, may still share part of its windows: only such segments have their text fetched.
-3. A solver compares the texts of a key's segments and returns the runs of windows that start earlier elsewhere: the
-   suffix array in `suffixes`, the Lempel-Ziv factors in `factors`.
-4. Runs are gathered by document and cut out.
-
-Keys under which a sample of documents shows many different segments are filed by single windows instead: what is equal
-there has equal sigs, and one frequent phrase is dealt over many tasks. The sample steers only where rows meet, never
-what is found; a key that still gathers more than WIDE segments is split into windows before its texts are shuffled.
-Equality of segments rests on two 64-bit hashes; the solvers compare the texts themselves.
+1. Segments become rows (key = anchor hash, sig = hash of the segment, place). A task first takes together what repeats
+   within its own rows; a key therefore meets each sig once a task and batch of segments.
+2. Rows are grouped by key. A segment whose sig came earlier is a candidate: it is likely to repeat the place where that
+   sig came first. A sig that comes first, under a key with several sigs, may share part of its windows with those.
+3. Texts are fetched. Candidates meet the block of the document that they point to, a reference of a fixed number of
+   windows, once for all candidates; runs of candidates stay whole. First segments meet by key.
+4. A solver compares the texts that meet and returns the runs of windows that start earlier elsewhere: the suffix array in
+   `suffixes`, the Lempel-Ziv factors in `factors`. Nothing is removed that a solver has not found equal in the text.
+5. Runs are gathered by document and cut out.
+
+Hashes decide only which texts meet. Keys under which a sample of documents shows many different segments are filed by
+single windows; a key that still gathers more than WIDE segments is split into windows before its texts are shuffled; the
+candidates of a reference block that exceed CROWD windows are dealt over several copies of the block.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ LOCAL = 250_000
 #: Sampled documents, and the different segments among them that make a key frequent.
 SAMPLE_DOCS, FREQUENT = 5000, 20
 WIDE = 20_000
+#: Windows of candidates that meet one copy of a reference block.
+CROWD = 1 << 18
+#: Offset of a part that has no anchor.
+NO_ANCHOR = 255
 #: Bytes of text that a solver gets at once; a key's segments stay together.
 BLOCK_BYTES = 2 << 20
 
@@ -80,6 +85,8 @@ class Bytes:
 
     window: int = 100
     gram: int = 24
+    #: Windows of a reference block, as a power of two.
+    block: int = 12
 
     def units(self, texts: list[bytes]) -> list:
         return texts
@@ -107,6 +114,7 @@ class Words:
 
     window: int = 20
     gram: int = 6
+    block: int = 10
 
     def units(self, texts: list[bytes]) -> list:
         return [t.split() for t in texts]
@@ -169,14 +177,16 @@ def segments(unit, pieces: list, bases: np.ndarray, frequent: np.ndarray) -> tup
     return tuple(rows)
 
 
-ROWS = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("p", pa.int64()), ("co", pa.int64()), ("local", pa.bool_())])
-ROWS_DDL = "key long, sig long, d long, t long, p long, co long, local boolean"
+ROWS = pa.schema([(n, pa.int64()) for n in ("key", "sig", "d", "t", "p", "co", "rd", "rt", "rp")])
+ROWS_DDL = "key long, sig long, d long, t long, p long, co long, rd long, rt long, rp long"
 
 
 class Local:
-    """Segments of one task: repeats among them leave as runs, the rest as rows to be grouped."""
+    """Segments of one task: repeats among them leave as runs of candidates with the place (rd, rt, rp) they point to, the
+    rest as rows to be grouped, where that is null. A run points into one reference block."""
 
-    def __init__(self):
+    def __init__(self, block: int):
+        self.block = block
         self.docs: list[tuple[int, int]] = []
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
@@ -197,28 +207,28 @@ class Local:
         doc, place, count, offset, key, sig = (x[by_place] for x in (doc, place, count, offset, key, sig))
         both = np.argsort(mixed(key) ^ sig, kind="stable")
         again = np.append(False, (key[both][1:] == key[both][:-1]) & (sig[both][1:] == sig[both][:-1]))
+        lead = np.flatnonzero(~again)[np.cumsum(~again) - 1]
+        first = np.empty(len(key), np.int64)  # the row each one repeats
+        first[both] = both[lead]
         # a document that comes twice as the same row is one document: its segments don't repeat each other
-        twin = np.append(False, (rank[doc][both][1:] == rank[doc][both][:-1]) & (place[both][1:] == place[both][:-1]))
-        repeated = np.zeros(len(key), bool)
-        group = np.cumsum(~again)
-        all_twins = np.zeros(len(key), bool)
-        if twin.any():  # twins of a group's first row are first themselves
-            lead = np.flatnonzero(~again)[group - 1]
-            all_twins[both] = (rank[doc][both] == rank[doc][both][lead]) & (place[both] == place[both][lead])
-        repeated[both] = again
-        repeated &= ~all_twins
-        r = np.flatnonzero(repeated)
+        twin = (rank[doc] == rank[doc[first]]) & (place == place[first])
+        r = np.flatnonzero((first != np.arange(len(key))) & ~twin)
+        to, at = doc[first[r]], place[first[r]]
         run = np.ones(len(r), bool)
-        run[1:] = (doc[r][1:] != doc[r][:-1]) | (place[r][1:] != place[r][:-1] + count[r][:-1])
+        ends = lambda x: x[1:] != x[:-1] + count[r][:-1]
+        run[1:] = (doc[r][1:] != doc[r][:-1]) | ends(place[r]) | (rank[to][1:] != rank[to][:-1]) | ends(at) | (at[1:] >> self.block != at[:-1] >> self.block)
         heads = np.flatnonzero(run)
         n = np.add.reduceat(count[r], heads) if len(r) else np.empty(0, np.int64)
-        runs = (doc[r][heads], place[r][heads], n << 8)
-        f = np.flatnonzero(~repeated)
-        doc_, place_, co = (np.concatenate(x) for x in zip((doc[f], place[f], count[f] << 8 | offset[f]), runs, strict=True))
-        own = mixed(d[runs[0]].astype(np.uint64) * BASE + runs[1].astype(np.uint64))
-        self.__init__()
-        columns = [np.concatenate([key[f], own]).view(np.int64), np.concatenate([sig[f], own]).view(np.int64), d[doc_], t[doc_], place_, co, np.arange(len(doc_)) >= len(f)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, ROWS, strict=True)], schema=ROWS)
+        who, where = doc[r][heads], place[r][heads]
+        f = np.setdiff1d(np.arange(len(key)), r, assume_unique=True)
+        own = mixed(d[who].astype(np.uint64) * BASE + where.astype(np.uint64))
+        both = lambda x, y: np.concatenate([x, y])
+        columns = [both(key[f], own).view(np.int64), both(sig[f], own).view(np.int64), d[both(doc[f], who)], t[both(doc[f], who)], both(place[f], where), both(count[f] << 8 | offset[f], n << 8)]
+        none = np.arange(len(f) + len(heads)) < len(f)
+        for x in (d[to[heads]], t[to[heads]], at[heads]):
+            columns.append(both(np.zeros(len(f), np.int64), x))
+        self.__init__(self.block)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=none if i > 5 else None) for i, c in enumerate(columns)], schema=ROWS)
 
 
 def segment_rows(docs: DataFrame, unit, frequent: np.ndarray) -> DataFrame:
@@ -226,7 +236,7 @@ def segment_rows(docs: DataFrame, unit, frequent: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local, hot = Local(), shared.value
+        local, hot = Local(unit.block), shared.value
         for b in it:
             ids = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             pieces, owner, bases, size = [], [], [], 0
@@ -249,10 +259,9 @@ def segment_rows(docs: DataFrame, unit, frequent: np.ndarray) -> DataFrame:
 
 
 def frequent_keys(docs: DataFrame, unit, count: int) -> np.ndarray:
-    """Keys with many different segments in a bounded sample of docs; they steer where rows meet, not what is found."""
-    every = max(1, count // SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64("d", F.lit(5)), F.lit(every)) == 0).limit(4 * SAMPLE_DOCS)
-    rows = segment_rows(sample, unit, np.empty(0, np.uint64)).where("not local").select("key", "sig").distinct()
+    """Keys with many different segments in a sample of about SAMPLE_DOCS docs; they steer where rows meet, not what is found."""
+    sample = docs if count <= SAMPLE_DOCS else docs.sample(SAMPLE_DOCS / count, 5)
+    rows = segment_rows(sample, unit, np.empty(0, np.uint64)).where("rp is null").select("key", "sig").distinct()
     keys = rows.groupBy("key").count().where(F.col("count") >= FREQUENT).select("key").collect()
     return np.sort(np.array([r["key"] for r in keys], np.int64).view(np.uint64))
 
@@ -285,28 +294,78 @@ def nested(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
     return np.concatenate([[0], np.cumsum(sizes)]), *[flat.field(flat.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, unit) -> DataFrame:
-    """PARTS: the texts of the wanted segments (key, d, t, p, co, wide); wide ones window by window, under keys of their own."""
-    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("key", "p", "co", "wide")).alias("parts"))
+#: What is asked of a document's text: a segment, its windows one by one, a candidate, a reference block (p is its number).
+SEGMENT, WINDOWS, CANDIDATE, REFERENCE = range(4)
+
+
+def pieces_of(units, asked: np.ndarray, unit) -> Iterator[tuple[int | None, int, int, bytes]]:
+    """key (None: the text's own), place, co and text of the parts that a document's requests (rows key, p, co, kind) stand for."""
+    w, top = unit.window, len(units) - unit.window + 1
+    last: list[int] | None = None  # candidates that lie next to each other stay together
+    for key, p, co, kind in [*asked[np.lexsort((asked[:, 1], asked[:, 0], asked[:, 3] != CANDIDATE))].tolist(), (None, -1, 0, -1)]:
+        if last and not (kind == CANDIDATE and key == last[0] and p == last[1] + last[2]):
+            yield last[0], last[1], last[2] << 8 | NO_ANCHOR, unit.text(units, last[1], last[1] + last[2] - 1 + w)
+            last = None
+        if kind == CANDIDATE:
+            if last:
+                last[2] += co >> 8
+            else:
+                last = [key, p, co >> 8]
+        elif kind == REFERENCE:
+            start, stop = p << unit.block, min(top, ((p + 1) << unit.block) + w - unit.gram)
+            yield key, start, (stop - start) << 8 | NO_ANCHOR, unit.text(units, start, stop - 1 + w)
+        elif kind == SEGMENT:
+            yield key, p, co, unit.text(units, p, p + (co >> 8) - 1 + w)
+        elif kind == WINDOWS:
+            for i in range(co >> 8):
+                yield None, p + i, 1 << 8 | (co & 255) - i, unit.text(units, p + i, p + i + w)
+
+
+def fetch(docs: DataFrame, asked: DataFrame, unit) -> DataFrame:
+    """PARTS: the texts of the requests asked (d, t, key, p, co, kind); windows come under keys of their own."""
+    lists = asked.groupBy("d", "t").agg(F.collect_list(F.struct("key", "p", "co", "kind")).alias("parts"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {f.name: [] for f in PARTS}
+        size = 0
         for b in it:
             ids, texts = list(zip(b.column("d").to_pylist(), b.column("t").to_pylist(), strict=True)), row_text(b)
-            at, key, p, co, wide = nested(b.column("parts"), ("key", "p", "co", "wide"))
-            out: dict[str, list] = {f.name: [] for f in PARTS}
+            at, *columns = nested(b.column("parts"), ("key", "p", "co", "kind"))
+            asked = np.stack(columns, 1).astype(np.int64).reshape(-1, 4)
             for i, units in enumerate(unit.units(texts)):
-                for j in range(at[i], at[i + 1]):
-                    c = int(co[j]) >> 8
-                    for s in range(c) if wide[j] else (0,):
-                        part = unit.text(units, int(p[j]) + s, int(p[j]) + s + (1 if wide[j] else c) - 1 + unit.window)
-                        own = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True) if wide[j] else int(key[j])
-                        for name, v in zip(PARTS.names, (own, *ids[i], int(p[j]) + s, 1 << 8 | (int(co[j]) & 255) - s if wide[j] else int(co[j]), part), strict=True):
-                            out[name].append(v)
+                for key, p, co, part in pieces_of(units, asked[at[i] : at[i + 1]], unit):
+                    own = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True) if key is None else key
+                    for name, v in zip(PARTS.names, (own, *ids[i], p, co, part), strict=True):
+                        out[name].append(v)
+                    size += len(part)
+                    if size >= BLOCK_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in PARTS], schema=PARTS)
+                        out, size = {f.name: [] for f in PARTS}, 0
+        if size:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in PARTS], schema=PARTS)
 
     return docs.join(lists, ["d", "t"]).mapInArrow(run, PARTS_DDL)
 
 
+def requests(found: DataFrame, unit) -> DataFrame:
+    """d, t, key, p, co, kind: what `fetch` is asked for by the rows of found (key, d, t, p, co, rd, rt, rp, wide)."""
+    kind = F.when(F.col("wide"), WINDOWS).otherwise(SEGMENT).cast("long")
+    firsts = found.where("rp is null").select("d", "t", "key", "p", "co", kind.alias("kind"))
+    near = found.where("rp is not null").withColumn("block", F.shiftright("rp", unit.block))
+    # references by the windows that point to them, and as many copies of each as those fill
+    into = near.groupBy("rd", "rt", "block").agg(F.sum(F.shiftright("co", 8)).alias("n"))
+    into = cut(into.withColumn("copies", F.ceil(F.col("n") / CROWD)), "passages-references")
+    key = F.xxhash64("rd", "rt", "block", "copy")
+    references = into.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    references = references.select(F.col("rd").alias("d"), F.col("rt").alias("t"), key.alias("key"), F.col("block").alias("p"), F.lit(0).cast("long").alias("co"), F.lit(REFERENCE).cast("long").alias("kind"))
+    near = near.join(into.where("copies > 1").select("rd", "rt", "block", "copies"), ["rd", "rt", "block"], "left")
+    near = near.withColumn("copy", F.coalesce(F.pmod(F.xxhash64("d", "t"), F.col("copies")), F.lit(0)).cast("long"))
+    # what lies within the reference block itself is found there
+    start = F.when((F.col("d") == F.col("rd")) & (F.col("t") == F.col("rt")), F.greatest("p", F.shiftleft(F.col("block") + 1, unit.block) + (unit.window - unit.gram))).otherwise(F.col("p"))
+    near = near.withColumn("start", start).withColumn("left", F.shiftright("co", 8) - (F.col("start") - F.col("p"))).where("left > 0")
+    return firsts.union(references).union(near.select("d", "t", key.alias("key"), F.col("start").alias("p"), F.shiftleft("left", 8).alias("co"), F.lit(CANDIDATE).cast("long").alias("kind")))
+
+
 Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -355,13 +414,13 @@ def repeated_runs(docs: DataFrame, unit, solver: Solver) -> DataFrame:
     known = rows.withColumn("before", F.lag(F.struct("sig", "d", "t", "p")).over(order))
     same = F.col("before.sig") == F.col("sig")
     twin = same & (F.col("before.d") == F.col("d")) & (F.col("before.t") == F.col("t")) & (F.col("before.p") == F.col("p"))
-    new = F.coalesce(~same, F.lit(True))
-    known = known.withColumn("new", new).withColumn("twin", F.coalesce(twin, F.lit(False)))
+    known = known.withColumn("new", F.coalesce(~same, F.lit(True))).withColumn("twin", F.coalesce(twin, F.lit(False)))
     known = known.withColumn("sigs", F.sum(F.col("new").cast("int")).over(whole))
-    known = known.withColumn("dup", F.col("local") | (~F.col("new") & ~F.col("twin")))
-    found = cut(known.where(F.col("dup") | (F.col("new") & (F.col("sigs") > 1))).select("key", "d", "t", "p", "co", "dup", (F.col("sigs") > WIDE).alias("wide")), "passages")
-    solved = solve(fetch(docs, found.where("not dup").drop("dup"), unit), unit, solver)
-    runs = found.where("dup").select("d", "t", "p", F.shiftright("co", 8).alias("c")).unionByName(solved)
+    known = known.withColumn("first", F.last(F.when(F.col("new"), F.struct("d", "t", "p")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    near = F.col("rp").isNotNull() | (~F.col("new") & ~F.col("twin"))
+    place = [F.when(near, F.coalesce(F.col(f"r{c}"), F.col(f"first.{c}"))).alias(f"r{c}") for c in ("d", "t", "p")]
+    found = known.where(near | (F.col("new") & (F.col("sigs") > 1))).select("key", "d", "t", "p", "co", *place, (F.col("sigs") > WIDE).alias("wide"))
+    runs = solve(fetch(docs, requests(cut(found, "passages"), unit), unit), unit, solver)
     return runs.groupBy("d", "t").agg(F.collect_list(F.struct("p", "c")).alias("runs"))
 
 

@@ -1,9 +1,10 @@
 """Substring removal by bytes with suffix arrays: bytes covered by a 100-byte string that also starts earlier go.
 
-The segments that `passages` cannot settle by hashes are laid into blocks. A block's suffix array is built in two
+The texts that `passages` lets meet are laid into blocks. A block's suffix array is built in two
 stages: only suffixes smaller than their successors are sorted, by eight bytes at a time and no deeper than a window;
 the others are induced by one scan over the buckets of first bytes, since such a suffix is its byte before a suffix
-already placed. Neighbours whose common prefix spans a window form classes; all but the earliest member repeat.
+already placed. Neighbours whose common prefix spans a window form classes; all but the earliest member under a key
+repeat.
 
 Defined results: a null text is empty; texts shorter than a window keep all bytes; several texts under one doc_id are
 ordered by a hash of the text, and equal ones are one document whose rows all get its result; null ids come first; an
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .passages import Bytes, Sums, mixed, without_repeats
+from .passages import NO_ANCHOR, Bytes, Sums, mixed, without_repeats
 
 UNIT = Bytes()
 
@@ -90,9 +91,9 @@ def with_company(keys: np.ndarray, offsets: np.ndarray, texts: list[bytes]) -> n
     sizes = np.array([len(x) for x in texts], np.int64)
     at = np.cumsum(sizes) - sizes
     sums = Sums(mixed(data.astype(np.uint64) + np.uint64(1)))
-    alive = np.zeros(len(texts), bool)
+    alive = offsets == NO_ANCHOR
     for low, high in ((offsets - half, offsets + k), (offsets, offsets + k + half)):
-        fits = np.flatnonzero((low >= 0) & (high <= sizes))
+        fits = np.flatnonzero((low >= 0) & (high <= sizes) & (offsets != NO_ANCHOR))
         mark = mixed(keys[fits].view(np.uint64)) ^ sums.of(at[fits] + low[fits], at[fits] + high[fits])
         _, back, n = np.unique(mark, return_inverse=True, return_counts=True)
         alive[fits[n[back] > 1]] = True
@@ -124,9 +125,16 @@ def solve_block(keys: np.ndarray, counts: np.ndarray, offsets: np.ndarray, texts
     joined[pairs] = True
     if not len(pairs):
         return none, none, none
-    heads = np.flatnonzero(~joined)
-    earliest = np.minimum.reduceat(order, heads)  # segments lie in document order, so places in the block do
-    repeated = np.sort(order[order != earliest[np.cumsum(~joined) - 1]])
+    # segments lie in document order under each key, so places in the block do; a class counts for each key by itself
+    several = joined | np.append(joined[1:], False)
+    group = np.cumsum(~joined)[several]
+    number = np.cumsum(np.append(False, np.diff(keys[live]) != 0))
+    owner, places = number[segment[order[several]]], order[several]
+    by = np.lexsort((places, owner, group))
+    later = np.append(False, (np.diff(group[by]) == 0) & (np.diff(owner[by]) == 0))
+    repeated = np.sort(places[by][later])
+    if not len(repeated):
+        return none, none, none
     run = np.append(True, (np.diff(repeated) != 1) | (segment[repeated][1:] != segment[repeated][:-1]))
     at = np.flatnonzero(run)
     return live[segment[repeated[at]]], place[repeated[at]], np.diff(np.append(at, len(repeated)))
