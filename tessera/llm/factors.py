@@ -46,7 +46,7 @@ def factor(words: list[bytes], reference: dict[tuple[bytes, ...], tuple[list[byt
     return repeated
 
 
-def solve_block(keys: np.ndarray, counts: np.ndarray, offsets: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def solve_block(keys: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (segment, first window, windows) of windows equal to one of an earlier segment or an earlier one of their own."""
     segment, first, count = [], [], []
     reference: dict = {}

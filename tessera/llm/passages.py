@@ -46,10 +46,9 @@ SAMPLE_DOCS, FREQUENT = 5000, 20
 WIDE = 20_000
 #: Windows of candidates that meet one copy of a reference block.
 CROWD = 1 << 18
-#: Offset of a part that has no anchor.
-NO_ANCHOR = 255
-#: Bytes of text that a solver gets at once; a key's segments stay together.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text that leave a task as one batch, and that a solver gets at once (about what a core's cache holds); a key's
+#: segments stay together.
+BATCH, BLOCK_BYTES = 2 << 20, 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -144,7 +143,7 @@ class Words:
 
 
 def segments(unit, pieces: list, bases: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
-    """piece, place (in the document), count of windows, anchor's offset, key and sig of the segments of the pieces."""
+    """piece, place (in the document), count of windows, key and sig of the segments of the pieces."""
     w, k = unit.window, unit.gram
     g = w - k + 1
     h = unit.grams(pieces)
@@ -163,22 +162,21 @@ def segments(unit, pieces: list, bases: np.ndarray, frequent: np.ndarray) -> tup
     key = h[anchor[first]]
     sums = Sums(h)
     sig = sums.of(at[first], at[first] + count + g - 1)
-    offset = anchor[first] - at[first]
-    rows = [piece[first], place[first], count, offset, key, sig]
+    rows = [piece[first], place[first], count, key, sig]
     if len(frequent) and len(key):
         hot = frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
         if hot.any():
             single = np.repeat(hot, count)
             s = at[single]
             other = Sums(h, np.uint64(0xBF58476D1CE4E5B9), np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64)))
-            ones = [piece[single], place[single], np.ones(len(s), np.int64), anchor[single] - s, other.of(s, s + g), sums.of(s, s + g)]
+            ones = [piece[single], place[single], np.ones(len(s), np.int64), other.of(s, s + g), sums.of(s, s + g)]
             rows = [np.concatenate([a[~hot], b]) for a, b in zip(rows, ones, strict=True)]
     rows[1] = rows[1] + bases[rows[0]]
     return tuple(rows)
 
 
-ROWS = pa.schema([(n, pa.int64()) for n in ("key", "sig", "d", "t", "p", "co", "rd", "rt", "rp")])
-ROWS_DDL = "key long, sig long, d long, t long, p long, co long, rd long, rt long, rp long"
+ROWS = pa.schema([(n, pa.int64()) for n in ("key", "sig", "d", "t", "p", "c", "rd", "rt", "rp")])
+ROWS_DDL = "key long, sig long, d long, t long, p long, c long, rd long, rt long, rp long"
 
 
 class Local:
@@ -197,14 +195,14 @@ class Local:
         self.held += len(found[0])
 
     def flush(self) -> pa.RecordBatch:
-        doc, place, count, offset, key, sig = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        doc, place, count, key, sig = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         d, t = (np.array(x, np.int64) for x in zip(*self.docs, strict=True))
         rank = np.empty(len(d), np.int64)
         order = np.lexsort((t, d))
         same = np.append(False, (d[order][1:] == d[order][:-1]) & (t[order][1:] == t[order][:-1]))
         rank[order] = np.cumsum(~same)
         by_place = np.lexsort((place, rank[doc]))
-        doc, place, count, offset, key, sig = (x[by_place] for x in (doc, place, count, offset, key, sig))
+        doc, place, count, key, sig = (x[by_place] for x in (doc, place, count, key, sig))
         both = np.argsort(mixed(key) ^ sig, kind="stable")
         again = np.append(False, (key[both][1:] == key[both][:-1]) & (sig[both][1:] == sig[both][:-1]))
         lead = np.flatnonzero(~again)[np.cumsum(~again) - 1]
@@ -223,7 +221,7 @@ class Local:
         f = np.setdiff1d(np.arange(len(key)), r, assume_unique=True)
         own = mixed(d[who].astype(np.uint64) * BASE + where.astype(np.uint64))
         both = lambda x, y: np.concatenate([x, y])
-        columns = [both(key[f], own).view(np.int64), both(sig[f], own).view(np.int64), d[both(doc[f], who)], t[both(doc[f], who)], both(place[f], where), both(count[f] << 8 | offset[f], n << 8)]
+        columns = [both(key[f], own).view(np.int64), both(sig[f], own).view(np.int64), d[both(doc[f], who)], t[both(doc[f], who)], both(place[f], where), both(count[f], n)]
         none = np.arange(len(f) + len(heads)) < len(f)
         for x in (d[to[heads]], t[to[heads]], at[heads]):
             columns.append(both(np.zeros(len(f), np.int64), x))
@@ -275,8 +273,8 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 RUNS_DDL = "d long, t long, p long, c long"
 RUNS = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("p", pa.int64()), ("c", pa.int64())])
-PARTS_DDL = "key long, d long, t long, p long, co long, part binary"
-PARTS = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("p", pa.int64()), ("co", pa.int64()), ("part", pa.binary())])
+PARTS_DDL = "key long, d long, t long, p long, c long, part binary"
+PARTS = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("p", pa.int64()), ("c", pa.int64()), ("part", pa.binary())])
 
 
 def row_text(b: pa.RecordBatch) -> list[bytes]:
@@ -299,46 +297,46 @@ SEGMENT, WINDOWS, CANDIDATE, REFERENCE = range(4)
 
 
 def pieces_of(units, asked: np.ndarray, unit) -> Iterator[tuple[int | None, int, int, bytes]]:
-    """key (None: the text's own), place, co and text of the parts that a document's requests (rows key, p, co, kind) stand for."""
+    """key (None: the text's own), place, windows and text of the parts that a document's requests (rows key, p, c, kind) stand for."""
     w, top = unit.window, len(units) - unit.window + 1
     last: list[int] | None = None  # candidates that lie next to each other stay together
-    for key, p, co, kind in [*asked[np.lexsort((asked[:, 1], asked[:, 0], asked[:, 3] != CANDIDATE))].tolist(), (None, -1, 0, -1)]:
+    for key, p, c, kind in [*asked[np.lexsort((asked[:, 1], asked[:, 0], asked[:, 3] != CANDIDATE))].tolist(), (None, -1, 0, -1)]:
         if last and not (kind == CANDIDATE and key == last[0] and p == last[1] + last[2]):
-            yield last[0], last[1], last[2] << 8 | NO_ANCHOR, unit.text(units, last[1], last[1] + last[2] - 1 + w)
+            yield last[0], last[1], last[2], unit.text(units, last[1], last[1] + last[2] - 1 + w)
             last = None
         if kind == CANDIDATE:
             if last:
-                last[2] += co >> 8
+                last[2] += c
             else:
-                last = [key, p, co >> 8]
+                last = [key, p, c]
         elif kind == REFERENCE:
             start, stop = p << unit.block, min(top, ((p + 1) << unit.block) + w - unit.gram)
-            yield key, start, (stop - start) << 8 | NO_ANCHOR, unit.text(units, start, stop - 1 + w)
+            yield key, start, stop - start, unit.text(units, start, stop - 1 + w)
         elif kind == SEGMENT:
-            yield key, p, co, unit.text(units, p, p + (co >> 8) - 1 + w)
+            yield key, p, c, unit.text(units, p, p + c - 1 + w)
         elif kind == WINDOWS:
-            for i in range(co >> 8):
-                yield None, p + i, 1 << 8 | (co & 255) - i, unit.text(units, p + i, p + i + w)
+            for i in range(c):
+                yield None, p + i, 1, unit.text(units, p + i, p + i + w)
 
 
 def fetch(docs: DataFrame, asked: DataFrame, unit) -> DataFrame:
-    """PARTS: the texts of the requests asked (d, t, key, p, co, kind); windows come under keys of their own."""
-    lists = asked.groupBy("d", "t").agg(F.collect_list(F.struct("key", "p", "co", "kind")).alias("parts"))
+    """PARTS: the texts of the requests asked (d, t, key, p, c, kind); windows come under keys of their own."""
+    lists = asked.groupBy("d", "t").agg(F.collect_list(F.struct("key", "p", "c", "kind")).alias("parts"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {f.name: [] for f in PARTS}
         size = 0
         for b in it:
             ids, texts = list(zip(b.column("d").to_pylist(), b.column("t").to_pylist(), strict=True)), row_text(b)
-            at, *columns = nested(b.column("parts"), ("key", "p", "co", "kind"))
+            at, *columns = nested(b.column("parts"), ("key", "p", "c", "kind"))
             asked = np.stack(columns, 1).astype(np.int64).reshape(-1, 4)
             for i, units in enumerate(unit.units(texts)):
-                for key, p, co, part in pieces_of(units, asked[at[i] : at[i + 1]], unit):
+                for key, p, c, part in pieces_of(units, asked[at[i] : at[i + 1]], unit):
                     own = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True) if key is None else key
-                    for name, v in zip(PARTS.names, (own, *ids[i], p, co, part), strict=True):
+                    for name, v in zip(PARTS.names, (own, *ids[i], p, c, part), strict=True):
                         out[name].append(v)
                     size += len(part)
-                    if size >= BLOCK_BYTES:
+                    if size >= BATCH:
                         yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in PARTS], schema=PARTS)
                         out, size = {f.name: [] for f in PARTS}, 0
         if size:
@@ -348,37 +346,37 @@ def fetch(docs: DataFrame, asked: DataFrame, unit) -> DataFrame:
 
 
 def requests(found: DataFrame, unit) -> DataFrame:
-    """d, t, key, p, co, kind: what `fetch` is asked for by the rows of found (key, d, t, p, co, rd, rt, rp, wide)."""
+    """d, t, key, p, c, kind: what `fetch` is asked for by the rows of found (key, d, t, p, c, rd, rt, rp, wide)."""
     kind = F.when(F.col("wide"), WINDOWS).otherwise(SEGMENT).cast("long")
-    firsts = found.where("rp is null").select("d", "t", "key", "p", "co", kind.alias("kind"))
+    firsts = found.where("rp is null").select("d", "t", "key", "p", "c", kind.alias("kind"))
     near = found.where("rp is not null").withColumn("block", F.shiftright("rp", unit.block))
     # references by the windows that point to them, and as many copies of each as those fill
-    into = near.groupBy("rd", "rt", "block").agg(F.sum(F.shiftright("co", 8)).alias("n"))
+    into = near.groupBy("rd", "rt", "block").agg(F.sum("c").alias("n"))
     into = cut(into.withColumn("copies", F.ceil(F.col("n") / CROWD)), "passages-references")
     key = F.xxhash64("rd", "rt", "block", "copy")
     references = into.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    references = references.select(F.col("rd").alias("d"), F.col("rt").alias("t"), key.alias("key"), F.col("block").alias("p"), F.lit(0).cast("long").alias("co"), F.lit(REFERENCE).cast("long").alias("kind"))
+    references = references.select(F.col("rd").alias("d"), F.col("rt").alias("t"), key.alias("key"), F.col("block").alias("p"), F.lit(0).cast("long").alias("c"), F.lit(REFERENCE).cast("long").alias("kind"))
     near = near.join(into.where("copies > 1").select("rd", "rt", "block", "copies"), ["rd", "rt", "block"], "left")
     near = near.withColumn("copy", F.coalesce(F.pmod(F.xxhash64("d", "t"), F.col("copies")), F.lit(0)).cast("long"))
     # what lies within the reference block itself is found there
     start = F.when((F.col("d") == F.col("rd")) & (F.col("t") == F.col("rt")), F.greatest("p", F.shiftleft(F.col("block") + 1, unit.block) + (unit.window - unit.gram))).otherwise(F.col("p"))
-    near = near.withColumn("start", start).withColumn("left", F.shiftright("co", 8) - (F.col("start") - F.col("p"))).where("left > 0")
-    return firsts.union(references).union(near.select("d", "t", key.alias("key"), F.col("start").alias("p"), F.shiftleft("left", 8).alias("co"), F.lit(CANDIDATE).cast("long").alias("kind")))
+    near = near.withColumn("start", start).withColumn("left", F.col("c") - (F.col("start") - F.col("p"))).where("left > 0")
+    return firsts.union(references).union(near.select("d", "t", key.alias("key"), F.col("start").alias("p"), F.col("left").alias("c"), F.lit(CANDIDATE).cast("long").alias("kind")))
 
 
-Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Solver = Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def solve(parts: DataFrame, unit, solver: Solver) -> DataFrame:
-    """RUNS of the windows of parts that start earlier. solver(keys, counts, offsets, texts), segments in document order within
+    """RUNS of the windows of parts that start earlier. solver(keys, counts, texts), segments in document order within
     a key, returns (segment, first window, number of windows) of each run."""
 
     def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        key, d, t, p, co = (np.concatenate([b.column(i).to_numpy() for b in rows]) for i in range(5))
+        key, d, t, p, c = (np.concatenate([b.column(i).to_numpy() for b in rows]) for i in range(5))
         texts = [x for b in rows for x in b.column(5).to_pylist()]
         first = np.append(True, (key[1:] != key[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1]))  # a document that comes twice is one
         keep = np.flatnonzero(first)
-        i, s, n = solver(key[keep], co[keep] >> 8, co[keep] & 255, [texts[x] for x in keep])
+        i, s, n = solver(key[keep], c[keep], [texts[x] for x in keep])
         i = keep[i]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d[i], t[i], p[i] + s, n)], schema=RUNS)
 
@@ -411,15 +409,14 @@ def repeated_runs(docs: DataFrame, unit, solver: Solver) -> DataFrame:
     rows = segment_rows(plain, unit, frequent_keys(plain, unit, docs.count()))
     order = Window.partitionBy("key").orderBy("sig", "d", "t", "p")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    known = rows.withColumn("before", F.lag(F.struct("sig", "d", "t", "p")).over(order))
-    same = F.col("before.sig") == F.col("sig")
-    twin = same & (F.col("before.d") == F.col("d")) & (F.col("before.t") == F.col("t")) & (F.col("before.p") == F.col("p"))
-    known = known.withColumn("new", F.coalesce(~same, F.lit(True))).withColumn("twin", F.coalesce(twin, F.lit(False)))
+    known = rows.withColumn("new", F.coalesce(F.lag("sig").over(order) != F.col("sig"), F.lit(True)))
     known = known.withColumn("sigs", F.sum(F.col("new").cast("int")).over(whole))
     known = known.withColumn("first", F.last(F.when(F.col("new"), F.struct("d", "t", "p")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    near = F.col("rp").isNotNull() | (~F.col("new") & ~F.col("twin"))
+    # a document that comes twice is one document: its segments don't repeat each other
+    twin = (F.col("first.d") == F.col("d")) & (F.col("first.t") == F.col("t")) & (F.col("first.p") == F.col("p"))
+    near = F.col("rp").isNotNull() | (~F.col("new") & ~twin)
     place = [F.when(near, F.coalesce(F.col(f"r{c}"), F.col(f"first.{c}"))).alias(f"r{c}") for c in ("d", "t", "p")]
-    found = known.where(near | (F.col("new") & (F.col("sigs") > 1))).select("key", "d", "t", "p", "co", *place, (F.col("sigs") > WIDE).alias("wide"))
+    found = known.where(near | (F.col("new") & (F.col("sigs") > 1))).select("key", "d", "t", "p", "c", *place, (F.col("sigs") > WIDE).alias("wide"))
     runs = solve(fetch(docs, requests(cut(found, "passages"), unit), unit), unit, solver)
     return runs.groupBy("d", "t").agg(F.collect_list(F.struct("p", "c")).alias("runs"))
 

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .passages import NO_ANCHOR, Bytes, Sums, mixed, without_repeats
+from .passages import Bytes, Sums, without_repeats
 
 UNIT = Bytes()
+#: Depth at which suffixes that agree so far are tried for going on alike.
+LIKELY = 24
 
 
 def eight_bytes(data: bytes) -> np.ndarray:
@@ -32,9 +34,11 @@ def suffix_order(data: bytes, depth: int) -> np.ndarray:
     """Suffixes of data ordered by at least their first `depth` bytes."""
     n = len(data)
     t = np.frombuffer(data, np.uint8)
-    words = eight_bytes(data + bytes(depth + 16))
+    padded = data + bytes(depth + 16)
+    words = eight_bytes(padded)
+    sums = Sums(np.frombuffer(padded, np.uint8) + np.uint64(1)) if depth > LIKELY else None
     step = np.flatnonzero(t[:-1] != t[1:])
-    after = np.append(step, n)[np.searchsorted(step, np.arange(n))]
+    after = np.append(step, n)[np.cumsum(np.append(0, t[:-1] != t[1:]))] if n else np.empty(0, np.int64)
     smaller = np.zeros(n, bool)
     inner = after < n
     smaller[inner] = t[after[inner]] < t[after[inner] + 1]
@@ -45,15 +49,29 @@ def suffix_order(data: bytes, depth: int) -> np.ndarray:
     b, key = b[order], key[order]
     head = np.append(True, key[1:] != key[:-1]) if len(b) else np.empty(0, bool)
     group = np.maximum.accumulate(np.where(head, np.arange(len(b)), 0)) if len(b) else np.empty(0, np.int64)
+    done = np.zeros(len(b), bool)
     for deep in range(8, depth, 8):
         alone = head & np.append(head[1:], True) if len(head) else head
+        alone |= done
         live = np.flatnonzero(~alone)
         if not len(live):
             break
+        if deep == LIKELY:  # groups that go on alike to the end, by a hash of it, are in order: most of the repeats
+            rest = sums.of(b[live] + deep, b[live] + depth + 8)
+            start = np.append(True, group[live][1:] != group[live][:-1])
+            number = np.cumsum(start) - 1
+            unlike = np.bincount(number, np.append(False, rest[1:] != rest[:-1]) & ~start) > 0
+            done[live] = ~unlike[number]
+            live = live[unlike[number]]
         key, own = words[b[live] + deep], group[live]
-        order = np.lexsort((key, own))
-        b[live], key = b[live][order], key[order]
-        new = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))
+        start = np.append(True, own[1:] != own[:-1])
+        # a group whose members go on alike keeps its order; repeats are mostly of that kind
+        number = np.cumsum(start) - 1
+        unlike = np.bincount(number, np.append(False, key[1:] != key[:-1]) & ~start) > 0
+        at = np.flatnonzero(unlike[number])
+        order = np.lexsort((key[at], number[at]))
+        b[live[at]], key[at] = b[live[at]][order], key[at][order]
+        new = start | np.append(True, key[1:] != key[:-1])
         head[live] = new
         group[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
     # stage two: induce the rest, bucket by bucket
@@ -83,31 +101,10 @@ def suffix_order(data: bytes, depth: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def with_company(keys: np.ndarray, offsets: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Segments that may share a window with another of their key: a window reaches at least half its length beyond the
-    gram on one side, so the two agree on the gram and that half."""
-    k, half = UNIT.gram, (UNIT.window - UNIT.gram) // 2
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(x) for x in texts], np.int64)
-    at = np.cumsum(sizes) - sizes
-    sums = Sums(mixed(data.astype(np.uint64) + np.uint64(1)))
-    alive = offsets == NO_ANCHOR
-    for low, high in ((offsets - half, offsets + k), (offsets, offsets + k + half)):
-        fits = np.flatnonzero((low >= 0) & (high <= sizes) & (offsets != NO_ANCHOR))
-        mark = mixed(keys[fits].view(np.uint64)) ^ sums.of(at[fits] + low[fits], at[fits] + high[fits])
-        _, back, n = np.unique(mark, return_inverse=True, return_counts=True)
-        alive[fits[n[back] > 1]] = True
-    return np.flatnonzero(alive)
-
-
-def solve_block(keys: np.ndarray, counts: np.ndarray, offsets: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def solve_block(keys: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (segment, first window, windows) of windows equal to one of an earlier segment or an earlier one of their own."""
     w = UNIT.window
-    live = with_company(np.ascontiguousarray(keys), offsets, texts)
     none = np.empty(0, np.int64)
-    if len(live) < 1:
-        return none, none, none
-    texts, counts = [texts[i] for i in live], counts[live]
     data = b"\0".join(texts)
     sizes = np.array([len(x) for x in texts], np.int64)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
@@ -117,9 +114,9 @@ def solve_block(keys: np.ndarray, counts: np.ndarray, offsets: np.ndarray, texts
     order = suffix_order(data, w)
     order = order[valid[order]]
     words = eight_bytes(data + bytes(w + 16))
-    # adjacent common prefixes, compared eight bytes at a time while they agree
+    # adjacent common prefixes, compared eight bytes at a time while they agree, the last ones first
     pairs = np.arange(1, len(order))
-    for deep in [*range(0, w - 8, 8), w - 8]:
+    for deep in [w - 8, *range(0, w - 8, 8)]:
         pairs = pairs[words[order[pairs] + deep] == words[order[pairs - 1] + deep]]
     joined = np.zeros(len(order), bool)
     joined[pairs] = True
@@ -127,17 +124,22 @@ def solve_block(keys: np.ndarray, counts: np.ndarray, offsets: np.ndarray, texts
         return none, none, none
     # segments lie in document order under each key, so places in the block do; a class counts for each key by itself
     several = joined | np.append(joined[1:], False)
-    group = np.cumsum(~joined)[several]
-    number = np.cumsum(np.append(False, np.diff(keys[live]) != 0))
-    owner, places = number[segment[order[several]]], order[several]
-    by = np.lexsort((places, owner, group))
-    later = np.append(False, (np.diff(group[by]) == 0) & (np.diff(owner[by]) == 0))
-    repeated = np.sort(places[by][later])
+    places = order[several]
+    owner = np.cumsum(np.append(False, keys[1:] != keys[:-1]))[segment[places]]
+    bits = [int(x.max()).bit_length() for x in (owner, places)]
+    under = np.cumsum(~joined)[several].astype(np.uint64) << np.uint64(bits[0]) | owner.astype(np.uint64)
+    if len(order).bit_length() + sum(bits) <= 64:  # one number holds class, key and place
+        both = np.sort(under << np.uint64(bits[1]) | places.astype(np.uint64))
+        places, under = (both & np.uint64((1 << bits[1]) - 1)).astype(np.int64), both >> np.uint64(bits[1])
+    else:
+        by = np.lexsort((places, under))
+        places, under = places[by], under[by]
+    repeated = np.sort(places[np.append(False, under[1:] == under[:-1])])
     if not len(repeated):
         return none, none, none
     run = np.append(True, (np.diff(repeated) != 1) | (segment[repeated][1:] != segment[repeated][:-1]))
     at = np.flatnonzero(run)
-    return live[segment[repeated[at]]], place[repeated[at]], np.diff(np.append(at, len(repeated)))
+    return segment[repeated[at]], place[repeated[at]], np.diff(np.append(at, len(repeated)))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
