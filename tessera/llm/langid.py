@@ -5,11 +5,13 @@ escape costs distinct / (total + distinct) and leads to the next shorter context
 trees are frozen after training. A text's code length in a language is the exact sum over all its bytes; the shortest
 one wins, ties to the smaller language value. score is the posterior 1 / sum(2 ** (shortest - length)).
 
-Training reads a bounded sample: of each language at most about `sample_docs` labelled documents of at most
-`sample_bytes` bytes, those with the smallest hashes of doc_id. Prediction reads whole texts and nothing but them.
+Training reads a bounded sample of labelled documents, whole ones: of every language those with the smallest hashes of
+doc_id and text, each text once, about `sample_docs` of them and about `sample_bytes` bytes, less where the languages together would pass
+TOTAL_BYTES, and always at least the first. Context counts are made in tasks; the trees, which the sample bounds, are built on
+the driver and broadcast. Prediction reads whole texts, in pieces, and nothing but them; its work grows with the number of languages.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is everything if nothing was learned.
-Repeated rows are predicted each for itself; an empty table gives an empty result.
+Repeated rows are predicted each for itself; a null doc_id is a document like others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_list, free_name, small_batches, table
+from .common import binary_list, cut, free_name, small_batches, table
 
-SAMPLE_DOCS, SAMPLE_BYTES = 500, 1 << 16
-#: Languages that are learned, the most frequent ones; bounds what workers hold.
-MAX_LANGUAGES = 64
+SAMPLE_DOCS, SAMPLE_BYTES = 500, 4 << 20
+#: Sampled bytes of all languages together, about; bounds the trees.
+TOTAL_BYTES = 64 << 20
+#: Bytes of text that are scored at once.
+PIECE = 1 << 20
 #: Bits a byte above which a document is taken for no language at all (a filter's parameter, not op9's).
 REJECT_BITS = 7.0
 ORDER = 3
@@ -37,122 +41,153 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-class ContextTrees:
-    """Frozen order-3 context trees of all languages, as costs in bits of seen byte strings.
+def byte_strings(d: np.ndarray, n: int) -> np.ndarray:
+    """The strings of n bytes in d, at most four, as big-endian numbers."""
+    out = d[: max(0, len(d) - n + 1)].astype(np.uint32)
+    for i in range(1, n):
+        out = out << np.uint32(8) | d[i : len(d) - n + 1 + i]
+    return out
+
+
+def string_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of four bytes that end in the texts, each between line feeds, and how often each comes."""
+    found = [byte_strings(np.frombuffer(b"\n\n\n" + t + b"\n\n\n", np.uint8), 4) for t in texts]
+    return np.unique(np.concatenate(found) if found else np.empty(0, np.uint32), return_counts=True)
+
 
-    Rows of `cost4` belong to the strings of four bytes seen by any language, those of `cost3` to three bytes; a string's
-    row holds each language's cost of its last byte after the others, escapes included. `esc3` is the cost of leaving a
-    context of three bytes (0 where a language never saw it), `cost2` is dense.
+def escapes(counts: np.ndarray, context: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of counted bytes in their contexts, and of leaving each context (0 where it was never seen)."""
+    total, kinds = np.bincount(context, counts, contexts), np.bincount(context, minlength=contexts)
+    leave = np.where(total > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0.0)
+    return np.log2((total + kinds)[context]) - np.log2(counts), leave
+
+
+class Tree:
+    """One language's frozen order-3 context tree: bits of the byte strings it saw, and of leaving their contexts.
+
+    Strings of three and four bytes are sorted lists with the bits of the last byte after the others; what depends on two
+    bytes or fewer is dense.
     """
 
+    def __init__(self, strings: np.ndarray, counts: np.ndarray):
+        def shorter(s: np.ndarray, n: np.ndarray, mask: int, first: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+            # the suffixes, and those of the line feeds before the first text
+            out, at = np.unique(np.append(s & np.uint32(mask), np.uint32(first[0])), return_inverse=True)
+            return out, np.bincount(at, np.append(n, first[1]))
+
+        n4 = counts.astype(float)
+        s3, n3 = shorter(strings, n4, 0xFFFFFF, (0x0A0A0A, 1))
+        s2, n2 = shorter(s3, n3, 0xFFFF, (0x0A0A, 1))
+        s1, n1 = shorter(s2, n2, 0xFF, (0x0A, 1))
+        kinds = len(s1)
+        cost1 = np.full(256, np.log2(n1.sum() + kinds) - np.log2(kinds / 256))
+        cost1[s1] = np.log2(n1.sum() + kinds) - np.log2(n1 + kinds / 256)
+        bits2, leave1 = escapes(n2, s2 >> 8, 256)
+        cost2 = leave1[:, None] + cost1
+        cost2.reshape(-1)[s2] = bits2
+        self.cost2 = cost2.reshape(-1).astype(np.float32)
+        bits3, leave2 = escapes(n3, s3 >> 8, 65536)
+        contexts, at = np.unique(strings >> np.uint32(8), return_inverse=True)
+        bits4, leave3 = escapes(n4, at, len(contexts))
+        self.leave2 = leave2.astype(np.float32)
+        self.s3, self.bits3 = s3, bits3.astype(np.float32)
+        self.s4, self.bits4 = strings, bits4.astype(np.float32)
+        self.contexts, self.leave3 = contexts, leave3.astype(np.float32)
+
+    def bits(self, s: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string of four bytes after its others, escapes included; s is sorted."""
+        out, new = found(self.s4, self.bits4, s)
+        s = s[new]
+        leave, _ = found(self.contexts, self.leave3, s >> np.uint32(8))
+        low, new3 = found(self.s3, self.bits3, s & np.uint32(0xFFFFFF))
+        t = s[new3]
+        low[new3] = self.leave2[t >> np.uint32(8) & np.uint32(0xFFFF)] + self.cost2[t & np.uint32(0xFFFF)]
+        out[new] = leave + low
+        return out
+
+
+def found(strings: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of wanted strings (0 where there is none), and the places of those that there are not."""
+    if not len(strings):
+        return np.zeros(len(wanted)), np.arange(len(wanted))
+    at = np.minimum(np.searchsorted(strings, wanted), len(strings) - 1)
+    there = strings[at] == wanted
+    return np.where(there, values[at], 0.0), np.flatnonzero(~there)
+
+
+class ContextTrees:
+    """The trees of all languages."""
+
     def __init__(self, texts: dict[str, list[bytes]]):
-        self.languages = sorted(texts)
-        data = {k: np.frombuffer(b"".join(b"\n\n\n" + t for t in v) + b"\n\n\n", np.uint8) for k, v in texts.items()}
-        n = len(self.languages)
-        used = np.unique(np.concatenate([*data.values(), np.empty(0, np.uint8)]))
-        self.classes = np.full(256, len(used), np.uint16)
-        self.classes[used] = np.arange(len(used))
-        self.width = len(used) + 1
-        grams3 = {k: np.unique(key(d, 3), return_counts=True) for k, d in data.items()}
-        grams4 = {k: np.unique(key(d, 4), return_counts=True) for k, d in data.items()}
-        all3 = np.unique(np.concatenate([np.empty(0, np.int64), *[g[0] for g in grams3.values()]]))
-        all4 = np.unique(np.concatenate([np.empty(0, np.int64), *[g[0] for g in grams4.values()]]))
-        self.all3, self.all4 = all3, all4
-        self.cost2 = np.zeros((65536, n), np.float32)
-        esc2 = np.zeros((65536, n))
-        self.cost3 = np.zeros((len(all3) + 1, n), np.float32)
-        self.esc2 = esc2.astype(np.float32)
-        self.esc3 = np.zeros((len(all3) + 1, n), np.float32)
-        self.cost4 = np.zeros((len(all4) + 1, n), np.float32)
-        for j, k in enumerate(self.languages):
-            d = data[k]
-            c1 = np.bincount(d, minlength=256).astype(float)
-            p1 = (c1 + np.count_nonzero(c1) / 256) / (c1.sum() + np.count_nonzero(c1)) if c1.any() else np.full(256, 1 / 256)
-            cost1 = -np.log2(p1)
-            c2 = np.bincount(key(d, 2), minlength=65536).astype(float).reshape(256, 256)
-            cost2 = level(c2, np.tile(cost1, (256, 1)))[0]
-            self.cost2[:, j] = cost2.reshape(-1)
-            cost3, self.esc2[:, j] = sparse(all3, *grams3[k], cost2.reshape(-1)[all3 & 0xFFFF], 65536)
-            self.cost3[1:, j] = cost3
-            context = np.searchsorted(all3, all4 >> 8)
-            back = cost3[np.searchsorted(all3, all4 & 0xFFFFFF)]
-            cost4, esc3 = sparse_by(context, len(all3), all4, *grams4[k], back)
-            self.cost4[1:, j], self.esc3[1:, j] = cost4, esc3
-
-    def index(self) -> None:
-        """Lookup tables, made once in each worker."""
-        self.row3 = np.zeros(1 << 24, np.int32)
-        self.row3[self.all3] = np.arange(1, len(self.all3) + 1)
-        self.row4 = np.zeros((len(self.all3) + 1) * self.width, np.int32)
-        self.row4[self.row3[self.all4 >> 8].astype(np.int64) * self.width + self.classes[self.all4 & 255]] = np.arange(1, len(self.all4) + 1)
+        self.trees = {k: Tree(*string_counts(texts[k])) for k in sorted(texts)}
 
-    def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language."""
-        if not hasattr(self, "row3"):
-            self.index()
-        sizes = np.array([len(t) for t in texts], np.int64)
-        out = np.zeros((len(texts), len(self.languages)))
-        d = np.frombuffer(b"".join(b"\n\n\n" + t for t in texts), np.uint8)
-        if not len(d):
-            return out
-        k3 = key(d, 3)
-        r3 = self.row3[k3]
-        r4 = self.row4[r3[:-1].astype(np.int64) * self.width + self.classes[d[3:]]]
-        starts = np.concatenate([[0], np.cumsum(sizes + 3)[:-1]])
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-        rows = r4[at]
-        seen = rows > 0
-        for j in range(len(self.languages)):
-            cost = self.cost4[:, j][rows].astype(np.float64)
-            if not seen.all():
-                m = at[~seen]
-                ctx, tri, bi = r3[m], r3[m + 1], k3[m + 1] & 0xFFFF
-                low = np.where(tri > 0, self.cost3[tri, j], self.esc2[k3[m + 1] >> 8, j] + self.cost2[bi, j])
-                cost[~seen] = self.esc3[ctx, j] + low
-            out[:, j] = np.bincount(doc, cost, len(texts))
+    @classmethod
+    def of_counts(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> ContextTrees:
+        out = cls({})
+        out.trees = {k: Tree(*counts[k]) for k in sorted(counts)}
         return out
 
+    @property
+    def languages(self) -> list[str]:
+        return list(self.trees)
 
-def key(d: np.ndarray, n: int) -> np.ndarray:
-    """The strings of n bytes in d as big-endian numbers."""
-    out = d[: max(0, len(d) - n + 1)].astype(np.int64)
-    for i in range(1, n):
-        out = out << 8 | d[i : len(d) - n + 1 + i]
-    return out
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each text in each language: each different string of a piece is looked up once for every language."""
+        out = np.zeros((len(texts), len(self.trees)))
+        for owners, data in self.pieces(texts):
+            strings, at = np.unique(data, return_inverse=True)
+            for j, tree in enumerate(self.trees.values()):
+                out[:, j] += np.bincount(owners, tree.bits(strings)[at], len(texts))
+        return out
 
+    @staticmethod
+    def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The texts' numbers and the strings of four bytes that end in them, for about PIECE bytes of the texts at a time."""
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            for start in range(0, len(t), PIECE):
+                part = (b"\n\n\n" + t[:PIECE]) if not start else t[start - 3 : start + PIECE]
+                held.append((i, byte_strings(np.frombuffer(part, np.uint8), 4)))
+                size += len(held[-1][1])
+                if size >= PIECE:
+                    yield np.repeat([x for x, _ in held], [len(y) for _, y in held]), np.concatenate([y for _, y in held])
+                    held, size = [], 0
+        if held:
+            yield np.repeat([x for x, _ in held], [len(y) for _, y in held]), np.concatenate([y for _, y in held])
 
-def level(counts: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-    return np.where(counts > 0, -np.log2(np.maximum(counts, 1) / np.maximum(total + kinds, 1)), escape + back), escape[:, 0]
 
+COUNTS = pa.schema([("lang", pa.string()), ("string", pa.int64()), ("n", pa.int64())])
 
-def sparse(strings: np.ndarray, seen: np.ndarray, n: np.ndarray, back: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    return sparse_by(strings >> 8, contexts, strings, seen, n, back)
 
+def context_counts(sample: DataFrame) -> DataFrame:
+    """lang, string (of four bytes), n over the documents (lang, text); a task's counts are taken together before the shuffle."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts: dict[str, list[bytes]] = {}
+            for lang, text in zip(b.column(0).to_pylist(), binary_list(b.column(1)), strict=True):
+                texts.setdefault(lang, []).append(text)
+            for lang, mine in texts.items():
+                strings, n = string_counts(mine)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(strings), pa.string()), pa.array(strings.astype(np.int64)), pa.array(n.astype(np.int64))], schema=COUNTS)
 
-def sparse_by(context: np.ndarray, contexts: int, strings: np.ndarray, seen: np.ndarray, n: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Costs of `strings` (sorted, a context number each) in a language that saw `seen` n times, and the contexts' escape costs."""
-    counts = np.zeros(len(strings))
-    counts[np.searchsorted(strings, seen)] = n
-    total, kinds = np.bincount(context, counts, contexts), np.bincount(context, counts > 0, contexts)
-    escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-    return np.where(counts > 0, -np.log2(np.maximum(counts, 1) / np.maximum(total + kinds, 1)[context]), escape[context] + back), escape
+    return sample.mapInArrow(run, "lang string, string long, n long").groupBy("lang", "string").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, keep: Column | None = None) -> ContextTrees:
-    """Trees of the languages in docs' labelled rows (those where keep holds); only the bounded sample reaches the driver."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes) & (keep if keep is not None else F.lit(True)))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_docs / r["count"]))) for r in counts], F.lit(0.0))
-    unit = F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    # the hash gives about sample_docs of each language; the limit makes the bound a hard one
-    sample = rows.where(unit < share).select("lang", F.col("text").cast("binary").alias("text")).limit(2 * sample_docs * max(1, len(counts))).collect()
-    texts: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
-    for r in sample:
-        texts[r["lang"]].append(bytes(r["text"]))
-    return ContextTrees({k: sorted(v) for k, v in texts.items() if v})
+    """Trees of all languages in docs' labelled rows (those where keep holds)."""
+    small_batches(docs.sparkSession)
+    unit = F.xxhash64("doc_id", "text", F.lit(11)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (keep if keep is not None else F.lit(True)))
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), unit.alias("unit"))
+    sizes = cut(labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("unit").alias("least")), "language-sizes")
+    most = min(sample_bytes, TOTAL_BYTES / max(1, sizes.count()))
+    share = F.least(F.lit(float(sample_docs)) / F.col("n"), F.lit(float(most)) / F.greatest("bytes", F.lit(1)))
+    picked = labelled.join(sizes.select("lang", "least", share.alias("share")), "lang").where((F.col("unit") < F.col("share")) | (F.col("unit") == F.col("least")))
+    counts = context_counts(picked.select("lang", "text").distinct()).orderBy("lang", "string").toArrow()
+    lang, string, n = (counts.column(c).combine_chunks() for c in COUNTS.names)
+    names = lang.dictionary_encode()
+    of = names.indices.to_numpy()
+    return ContextTrees.of_counts({k: (string.to_numpy()[of == i].astype(np.uint32), n.to_numpy()[of == i]) for i, k in enumerate(names.dictionary.to_pylist())})
 
 
 FOUND = pa.schema([("pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())])
