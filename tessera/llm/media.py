@@ -1,9 +1,10 @@
 """Media columns: texts as lossless 8-bit images in content-addressed tar shards.
 
 A payload is the text's UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, seen as an 8-bit grey picture 64
-wide and stored as PNG. Members of a tar shard are named by the SHA-256 of the stored form; equal payloads within a
-shard are stored once. Rows carry shard, digest, offset and length; a range read of the first 33 bytes of a member
-fills the picture's metadata, and only a read of the whole member gives the payload.
+wide and stored as PNG. Members of a tar shard are named by the SHA-256 of the stored form. Equal payloads are stored once:
+of the documents with one text, that with the smallest doc_id writes it, the others are left out before any text
+is read by Python. Rows carry digest, offset and length; a range read of the first 33 bytes of a member fills the
+picture's metadata, and only a read of the whole member gives the payload. Each member is read once, whatever refers to it.
 
 Defined results: a null text is an empty payload of 64 bytes 0; repeated rows refer to equal members; an empty table
 gives an empty index and no shard; other columns of the documents are not carried.
@@ -32,8 +33,8 @@ READ_BYTES = 32 << 20
 HEADER_BYTES = 33
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
-INDEX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("shard", pa.string()), ("media_offset", pa.int64()), ("media_bytes", pa.int64())])
-INDEX_DDL = "doc_id long, n_bytes long, media_sha256 string, shard string, media_offset long, media_bytes long"
+PLACES = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("shard", pa.string()), ("media_offset", pa.int64()), ("media_bytes", pa.int64())])
+PLACES_DDL = "digest binary, n_bytes long, media_sha256 string, shard string, media_offset long, media_bytes long"
 
 
 def pad(text: bytes) -> bytes:
@@ -83,32 +84,40 @@ def feature(payload: bytes) -> str:
     return f"{bits}:{x.mean():.3f}:{-(p * np.log2(p)).sum():.4f}"
 
 
-def write_media(docs: DataFrame, root: str) -> DataFrame:
-    """Store every text of docs in tar shards under root; returns the index, written there too. One pass, no shuffle."""
+def store(texts: DataFrame, root: str) -> DataFrame:
+    """Store every text of texts (digest, text) in tar shards under root; their places. One pass, no shuffle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = ShardWriter(root, ".tar", SHARD_BYTES, tail=bytes(1024))
-        seen: dict[str, int] = {}
         for b in it:
-            rows: dict[str, list] = {f.name: [] for f in INDEX}
-            for doc_id, text in zip(b.column(0).to_pylist(), binary_list(b.column(1)), strict=True):
-                text = text or b""
+            rows: dict[str, list] = {f.name: [] for f in PLACES}
+            for digest, text in zip(b.column(0).to_pylist(), binary_list(b.column(1)), strict=True):
                 media = encode_png(pad(text))
                 name = hashlib.sha256(media).hexdigest()
-                if out.stream is None or name not in seen:
-                    info = tarfile.TarInfo(f"{name}.png")
-                    info.size = len(media)
-                    blob = info.tobuf(tarfile.GNU_FORMAT) + media + bytes(-len(media) % 512)
-                    if out.room(len(blob)):
-                        seen.clear()
-                    seen[name] = out.put(blob) + len(blob) - len(media) - (-len(media) % 512)
-                for k, v in zip(INDEX.names, (doc_id, len(text), name, out.name, seen[name], len(media)), strict=True):
+                info = tarfile.TarInfo(f"{name}.png")
+                info.size = len(media)
+                head = info.tobuf(tarfile.GNU_FORMAT)
+                out.room(len(head) + len(media) + -len(media) % 512)
+                at = out.put(head + media + bytes(-len(media) % 512)) + len(head)
+                for k, v in zip(PLACES.names, (digest, len(text), name, out.name, at, len(media)), strict=True):
                     rows[k].append(v)
-            yield batches(rows, INDEX)
+            yield batches(rows, PLACES)
         out.close()
 
+    return texts.select("digest", "text").mapInArrow(run, PLACES_DDL)
+
+
+def write_media(docs: DataFrame, root: str) -> DataFrame:
+    """Store the texts of docs in tar shards under root, each different one once: doc_id and the place of each row's text."""
     small_batches(docs.sparkSession)
-    return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, INDEX_DDL), "media-index")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    several = rows.groupBy("digest").agg(F.min("doc_id").alias("writer"), F.count("*").alias("n")).where("n > 1").select("digest", "writer")
+    others = cut(rows.select("doc_id", "digest").join(several, "digest").where(~F.col("doc_id").eqNullSafe(F.col("writer"))).select(F.col("digest").alias("o_digest"), F.col("doc_id").alias("o_id")).distinct(), "media-others")
+    first = rows.join(others, (F.col("digest") == F.col("o_digest")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left_anti")
+    # a document that comes twice as the same row may have been stored twice: all refer to one of the members
+    places = cut(store(first, root), "media-stored").groupBy("digest").agg(F.min(F.struct(*PLACES.names[1:])).alias("at")).select("digest", "at.*")
+    return cut(rows.select("doc_id", "digest").join(places, "digest").drop("digest"), "media-index")
 
 
 def spread(index: DataFrame, shard: str, offset: str, length: str) -> DataFrame:
@@ -129,37 +138,44 @@ def with_metadata(index: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([h[i] for h in heads], pa.int32()) for i in range(3)]], schema=pa.schema([*b.schema, *new]))
         store.close()
 
-    return index.mapInArrow(run, f"{INDEX_DDL}, width int, height int, bit_depth int")
+    return index.mapInArrow(run, f"{ddl(index)}, width int, height int, bit_depth int")
 
 
-FEATURES = pa.schema([*INDEX, ("width", pa.int32()), ("height", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("stored_sha256", pa.string()), ("feature", pa.string())])
-FEATURES_DDL = f"{INDEX_DDL}, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, stored_sha256 string, feature string"
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
+FEATURES = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("stored_sha256", pa.string()), ("feature", pa.string())])
 
 
 def with_features(rows: DataFrame, root: str) -> DataFrame:
-    """rows of with_metadata with digests and the feature of the payload, computed from the stored bytes."""
+    """rows (shard, media_offset, media_bytes) with digests and the feature of the payload, computed from the stored bytes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = ShardReader(root)
         for b in it:
-            out = {k: b.column(k).to_pylist() for k in [*INDEX.names, "width", "height"]} | {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "stored_sha256", "feature")}
-            last, got = None, ()
-            for place in zip(out["shard"], out["media_offset"], out["media_bytes"], strict=True):
-                if place != last:
-                    media = store.read(*place)
-                    payload = decode_png(media)
-                    last, got = place, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(media).hexdigest(), feature(payload))
-                for k, v in zip(("payload_bytes", "payload_sha256", "tail_crc32", "stored_sha256", "feature"), got, strict=True):
+            out: dict[str, list] = {k: [] for k in FEATURES.names}
+            for place in zip(*[b.column(c).to_pylist() for c in ("shard", "media_offset", "media_bytes")], strict=True):
+                media = store.read(*place)
+                payload = decode_png(media)
+                got = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(media).hexdigest(), feature(payload))
+                for k, v in zip(FEATURES.names, got, strict=True):
                     out[k].append(v)
-            yield batches(out, FEATURES)
+            yield pa.RecordBatch.from_arrays([*b.columns, *batches(out, FEATURES).columns], schema=pa.schema([*b.schema, *FEATURES]))
         store.close()
 
-    return rows.mapInArrow(run, FEATURES_DDL)
+    return rows.mapInArrow(run, f"{ddl(rows)}, payload_bytes long, payload_sha256 string, tail_crc32 long, stored_sha256 string, feature string")
+
+
+def media_columns(docs: DataFrame, root: str) -> DataFrame:
+    """write_media's rows with the metadata and features of their payloads, each member being read once."""
+    index = write_media(docs, root)
+    places = index.drop("doc_id").distinct()
+    read = with_features(with_metadata(spread(places, "shard", "media_offset", "media_bytes"), root), root)
+    return index.select("doc_id", "media_sha256").join(read, "media_sha256")
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store all documents as pictures, read them back and return their columns."""
-    root = work_dir(spark, "media")
-    index = write_media(table(spark, sf_dir, "documents"), root)
-    rows = with_features(with_metadata(spread(index, "shard", "media_offset", "media_bytes"), root), root)
+    rows = media_columns(table(spark, sf_dir, "documents"), work_dir(spark, "media"))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("stored_sha256").alias("media_sha256"), "feature", "width", "height", "shard", "media_offset")
