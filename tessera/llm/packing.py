@@ -1,6 +1,7 @@
 """Packing by power-of-two decomposition: a document of n tokens is cut into pieces of 2048 and of the binary digits of
 the rest, longest first. Every piece is a sequence of its own and falls into the bucket of its length, so nothing is
-padded and no sequence crosses documents. No shuffle: sequence ids are the task's number and a counter within it.
+padded and no sequence crosses documents. Buckets are folders of a Parquet table, one for each length, so a training
+run reads batches of equal sequences. No shuffle: sequence ids are the task's number and a counter within it.
 
 Defined results: a null text is an empty one and still has the end token; repeated rows are packed each for itself with
 sequences of their own; an empty table packs to nothing. Texts are encoded whole.
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_list, small_batches, table
+from .common import binary_list, small_batches, table, work_dir
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -172,9 +173,19 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MAX_LENGTH,
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DDL)
 
 
+def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
+    """Write pieces by length, a folder for each; all of a task's buckets are open at once, so nothing is sorted. Returns the table."""
+    spark, key = pieces.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    pieces.write.option("compression", "zstd").partitionBy("length").parquet(path)
+    spark.conf.set(key, before)
+    return spark.read.schema(pieces.schema).parquet(path)
+
+
 def op8_binary_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pack all documents; the ids of a piece are returned as their CRC-32."""
-    return digest(pack(table(spark, sf_dir, "documents")))
+    """Pack all documents into buckets; the ids of a piece are returned as their CRC-32."""
+    return digest(write_buckets(pack(table(spark, sf_dir, "documents")), work_dir(spark, "buckets")))
 
 
 def digest(pieces: DataFrame) -> DataFrame:

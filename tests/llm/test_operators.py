@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessera.llm import ann, importance, langid, media, mixing, packing, simhash, warc
-from tessera.llm.common import work_dir
+from tessera.llm.common import FOLDERS, ShardReader, work_dir
 
 from . import cases
 
@@ -45,10 +45,70 @@ def test_media_shards_are_tar_and_roll_over(spark, monkeypatch, tmp_path):
     assert all(members[r["shard"], r["media_offset"]] == (r["media_sha256"] + ".png", r["media_bytes"]) for r in index)
 
 
+def plain_png(data: bytes) -> tuple[int, int, bytes]:
+    """Width, height and samples of an 8-bit grey PNG, any row filter, by the format's definition."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, head, body = 8, b"", b""
+    while True:
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, part = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert int.from_bytes(data[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + part)
+        head, body = (part if kind == b"IHDR" else head), body + (part if kind == b"IDAT" else b"")
+        at += 12 + n
+        if kind == b"IEND":
+            break
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    assert head[8:] == bytes([8, 0, 0, 0, 0])
+    raw, out, above = zlib.decompress(body), [], [0] * width
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], list(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for i in range(width):
+            left, up, corner = (line[i - 1] if i else 0), above[i], (above[i - 1] if i else 0)
+            p = left + up - corner
+            paeth = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+            line[i] = (line[i] + (0, left, up, (left + up) // 2, paeth)[kind]) % 256
+        out += line
+        above = line
+    assert at == len(data)
+    return width, height, bytes(out)
+
+
+def plain_feature(payload: bytes) -> str:
+    import math
+    from collections import Counter
+
+    n, mean = len(payload), sum(payload) / len(payload)
+    bits = ""
+    for k in range(64):
+        cell = payload[k * n // 64 : (k + 1) * n // 64]
+        bits += "1" if sum(cell) / len(cell) > mean else "0"
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(payload).values())
+    return f"{int(bits, 2):016x}:{mean:.3f}:{entropy:.4f}"
+
+
+def test_op1_against_plain_python(spark, tmp_path):
+    docs = cases.documents(spark).unionByName(cases.documents(spark).limit(6))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = media.op1_media_columns(spark, str(tmp_path)).collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert len(rows) == docs.count() and {r["doc_id"] for r in rows} == set(texts)
+    root = sorted((f for f in FOLDERS if "/media-" in f and "index" not in f and "stored" not in f and "others" not in f), key=FOLDERS.index)[-1]
+    reader, places = ShardReader(root), {}
+    for r in rows:
+        payload = media.pad(texts[r["doc_id"]])
+        stored = reader.read(r["shard"], r["media_offset"], r["media_bytes"])
+        assert cases.sha(stored) == r["media_sha256"] and plain_png(stored) == (64, len(payload) // 64, payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(payload), cases.sha(payload), zlib.crc32(payload[-64:]))
+        whole, mean, entropy = r["feature"].split(":")
+        want = plain_feature(payload).split(":")
+        assert whole == want[0] and float(mean) == pytest.approx(float(want[1]), abs=2e-3) and float(entropy) == pytest.approx(float(want[2]), abs=2e-4)
+        # equal texts are stored once, whatever task saw them
+        assert places.setdefault(payload, (r["shard"], r["media_offset"])) == (r["shard"], r["media_offset"])
+
+
 def test_media_empty(spark):
     root = work_dir(spark, "t-media")
-    index = media.write_media(cases.documents(spark, []), root)
-    assert media.with_features(media.with_metadata(media.spread(index, "shard", "media_offset", "media_bytes"), root), root).count() == 0
+    assert media.media_columns(cases.documents(spark, []), root).count() == 0
 
 
 # WARC -------------------------------------------------------------------------------------------------------------
@@ -317,6 +377,25 @@ def test_packing_against_the_tokenizer(spark):
     assert packing.pack(twice).select("sequence_id").distinct().count() == packing.pack(twice).count()
 
 
+def test_op8_buckets_hold_one_length(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = cases.documents(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = packing.op8_binary_pack(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    table = packing.write_buckets(packing.pack(docs), f"{tmp_path}/buckets")
+    key = lambda d: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"], r["offset"]) for r in d.collect())
+    assert key(packing.digest(table)) == key(out) == key(packing.digest(packing.pack(docs)))
+    folders = glob.glob(f"{tmp_path}/buckets/length=*")
+    assert len(folders) == len({r["length"] for r in out.collect()})
+    for f in folders:
+        for part in glob.glob(f"{f}/*.parquet"):
+            assert {len(x) for x in pq.ParquetFile(part).read().column("ids").to_pylist()} == {4 * int(f.rsplit("=", 1)[1])}
+
+
 # Language ---------------------------------------------------------------------------------------------------------
 
 
@@ -376,6 +455,29 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert {r["_language"]["pred"] for r in langid.predict(docs.limit(5), nothing).collect()} == {"und"}
 
 
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    rng = random.Random(15)
+    trees = langid.ContextTrees({"x": [b"abc abd abe"], "y": [b"zyx zyw"]})
+    texts = [b"", b"ab", bytes(rng.choices(b"abcdez y", k=1000)), b"abc", bytes(rng.choices(b"abz", k=257))]
+    whole = trees.lengths(texts)
+    monkeypatch.setattr(langid, "PIECE", 64)
+    assert np.allclose(trees.lengths(texts), whole)
+
+
+def test_all_of_many_languages_are_learned(spark):
+    rng = random.Random(16)
+    words = {f"l{k}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(12)] for k in range(100)}
+    rows = [(i, " ".join(rng.choices(words[k], k=40)), k) for i, k in enumerate(list(words) * 8)]
+    # a language of long texts only, longer than the sample's bytes
+    rows += [(5000 + i, " ".join(rng.choices(["lang", "und", "breit"], k=40_000)), "long") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = langid.train(docs, sample_bytes=20_000)
+    assert set(trees.languages) == {*words, "long"}
+    probe = spark.createDataFrame([(i, " ".join(rng.choices(words[k], k=30)), k) for i, k in enumerate(words)] + [(200, "und breit und lang", "long")], "doc_id long, text string, lang string")
+    got = langid.predict(probe, trees).collect()
+    assert sum(r["language"]["pred"] == r["lang"] for r in got) >= 0.98 * len(got)
+
+
 # Importance resampling --------------------------------------------------------------------------------------------
 
 
