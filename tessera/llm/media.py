@@ -29,6 +29,8 @@ WIDTH = 64
 SHARD_BYTES = 256 << 20
 #: Media bytes that one read task should get, about.
 READ_BYTES = 32 << 20
+#: Documents left out that are sent to every task, of about 50 bytes each.
+BROADCAST_ROWS = 1 << 20
 #: Length of PNG's signature and header chunk.
 HEADER_BYTES = 33
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -114,6 +116,8 @@ def write_media(docs: DataFrame, root: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     several = rows.groupBy("digest").agg(F.min("doc_id").alias("writer"), F.count("*").alias("n")).where("n > 1").select("digest", "writer")
     others = cut(rows.select("doc_id", "digest").join(several, "digest").where(~F.col("doc_id").eqNullSafe(F.col("writer"))).select(F.col("digest").alias("o_digest"), F.col("doc_id").alias("o_id")).distinct(), "media-others")
+    # the texts stay where they are while those left out are few enough to send; beyond that bound they are shuffled
+    others = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
     first = rows.join(others, (F.col("digest") == F.col("o_digest")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left_anti")
     # a document that comes twice as the same row may have been stored twice: all refer to one of the members
     places = cut(store(first, root), "media-stored").groupBy("digest").agg(F.min(F.struct(*PLACES.names[1:])).alias("at")).select("digest", "at.*")
