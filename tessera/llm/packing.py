@@ -178,7 +178,7 @@ def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
     spark, key = pieces.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(key)
     spark.conf.set(key, "16")
-    pieces.write.option("compression", "zstd").partitionBy("length").parquet(path)
+    pieces.write.option("compression", "lz4").option("parquet.enable.dictionary", "false").partitionBy("length").parquet(path)
     spark.conf.set(key, before)
     return spark.read.schema(pieces.schema).parquet(path)
 
