@@ -34,14 +34,24 @@ def last_samples(samples: DataFrame, key: str, n: int, tie: str) -> DataFrame:
 
 def cluster_metrics(workers: DataFrame, samples: DataFrame) -> DataFrame:
     """Alive workers, counters, and the mean of the workers' mean cpu and load."""
-    means = samples.groupBy("worker_id").agg(mean_or_zero(F.col("cpu_percent")).alias("cpu"), mean_or_zero(F.col("load1")).alias("load"))
-    j = workers.join(means, "worker_id", "left")
+    j = worker_metrics(workers, samples)
     return j.agg(
         F.count_if(F.col("status") == "alive").alias("alive"), F.count("*").alias("total"), mean_or_zero(F.col("cpu")).alias("mean_cpu"), mean_or_zero(F.col("load")).alias("mean_load"),
         F.coalesce(F.sum("completed"), F.lit(0)).cast("bigint").alias("completed"), F.coalesce(F.sum("failed"), F.lit(0)).cast("bigint").alias("failed"),
     )
 
 
+def worker_metrics(workers: DataFrame, samples: DataFrame) -> DataFrame:
+    """The rows behind cluster_metrics: every worker (worker_id, status, completed, failed) with the means of its samples."""
+    means = samples.groupBy("worker_id").agg(mean_or_zero(F.col("cpu_percent")).alias("cpu"), mean_or_zero(F.col("load1")).alias("load"))
+    return workers.join(means, "worker_id", "left")
+
+
+def job_summary(tasks: DataFrame) -> DataFrame:
+    """For each job: tasks, and how many of them are in every state."""
+    return tasks.groupBy("job_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in TASK_STATES])
+
+
 def stage_progress(tasks: DataFrame) -> DataFrame:
     """For each stage: total, done (succeeded only), pct, and a count for every state, zeros included."""
     states = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in TASK_STATES]

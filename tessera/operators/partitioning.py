@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +22,34 @@ def partition_of(key: Column, partitions: int, salt: str = SALT) -> Column:
     return F.lit(0) if partitions <= 1 else (stable_hash(key, salt) % partitions).cast("int")
 
 
+#: Rows that one task orders in an even split, about.
+SPLIT_ROWS = 1_000_000
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df computed once, into the shared folder spark.checkpoint.dir; only a local master may do without that setting."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def split_evenly(df: DataFrame, parts: int, *order: str) -> DataFrame:
     """df with `part` from 0: runs in order whose sizes differ by at most one, the larger first.
 
-    Row numbers come from a range partition and the sizes of the partitions before it, so no task sees all rows;
-    equal order values must not matter to the caller.
+    Row numbers come from a range partition and the sizes of the partitions before it, so no task sees all rows. Ranges
+    are dealt by samples, so the dealing is done once and kept: counts and numbers are of the same partitions, whatever
+    columns each needs. Equal order values must not matter to the caller.
     """
     total = df.count()
     parts = max(1, min(parts, total))
-    spark = df.sparkSession
-    dealt = df.repartitionByRange(spark.sparkContext.defaultParallelism, *order).withColumn("_pid", F.spark_partition_id())
-    # the sizes are one row for each partition, and come from the same dealing
-    sizes = dealt.groupBy("_pid").count()
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // SPLIT_ROWS))
+    dealt = pinned(df.repartitionByRange(ranges, *order).withColumn("_pid", F.spark_partition_id()))
+    sizes = dealt.groupBy("_pid").count()  # one row for each range
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_before")
-    ranked = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))).join(F.broadcast(before), "_pid")
+    ranked = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))).join(before, "_pid")
     row = F.col("_before") + F.col("_rn") - 1
     small, extra = divmod(total, parts)
     part = F.when(row < extra * (small + 1), F.floor(row / (small + 1))).otherwise(F.lit(extra) + F.floor((row - extra * (small + 1)) / max(1, small)))

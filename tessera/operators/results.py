@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,12 +58,24 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def store_results(df: DataFrame, path: str, partitions: int) -> None:
+    """A job's reduced rows (key, ...) as JSON lines, a folder for each partition of their keys."""
+    from .partitioning import partition_of
+
+    df.withColumn("partition", partition_of(F.col("key"), partitions)).write.mode("overwrite").partitionBy("partition").json(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored results with their partition, in order of partitions and keys."""
+    return spark.read.schema(f"{schema}, partition int").json(path).orderBy("partition", "key")
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
 def write_documents(df: DataFrame, path: str) -> None:
-    """Replace a table; readers see the old or the new one, by the commit protocol of Spark's writers."""
+    """Replace a table. Spark removes the old files before it commits the new ones: a reader meanwhile may see neither."""
     df.write.mode("overwrite").parquet(path)
 
 

@@ -104,9 +104,9 @@ def partition_sizes(spark: SparkSession, d: str) -> DataFrame:
     return partitioning.partition_sizes(mappers.wordcount(load(spark, d, "documents")), 8)
 
 
-@query("SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS part FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_totalprice, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS part FROM orders")
 def even_split(spark: SparkSession, d: str) -> DataFrame:
-    return partitioning.split_evenly(load(spark, d, "orders").select("o_orderkey"), 7, "o_orderkey")
+    return partitioning.split_evenly(load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), 7, "o_orderkey")
 
 
 CELLS = "SELECT o_orderkey % 8 AS source, o_custkey % 4 AS partition, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders"
@@ -316,22 +316,77 @@ def _staged(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("task_id"), F.col("o_orderpriority").alias("stage"), F.when(s == "F", "SUCCEEDED").when(s == "O", "RUNNING").otherwise(s).alias("status"), F.col("o_totalprice").alias("elapsed"), F.lit(False).alias("speculated"))
 
 
+JOB_STATES = ("PENDING", "SHARDING", "MAP", "SHUFFLE", "REDUCE", "SUCCEEDED", "FAILED", "CANCELLED")
+
+
+def state_sql(states: tuple[str, ...]) -> str:
+    return f"['{"', '".join(states)}'][1 + CAST((o_orderkey * 7 + o_custkey) % {len(states)} AS INTEGER)]"
+
+
+def _in_states(spark: SparkSession, d: str, states: tuple[str, ...]) -> DataFrame:
+    """Orders as tasks or jobs that are in all states."""
+    at = ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % len(states) + 1).cast("int")
+    state = F.element_at(F.array(*[F.lit(x) for x in states]), at)
+    return load(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderpriority").alias("stage"), state.alias("status"))
+
+
+TASK_ROWS = f"SELECT o_custkey AS job_id, o_orderpriority AS stage, {state_sql(metrics.TASK_STATES)} AS status FROM orders"
+JOB_ROWS = f"SELECT {state_sql(JOB_STATES)} AS status FROM orders"
+TASK_COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s.lower()}" for s in metrics.TASK_STATES)
+
+
 @query(
-    f"""SELECT stage, count(*) AS total, count(*) FILTER (status = 'SUCCEEDED') AS done, {', '.join(f"count(*) FILTER (status = '{s}') AS n_{s.lower()}" for s in metrics.TASK_STATES)},
-    floor(count(*) FILTER (status = 'SUCCEEDED') / count(*) * 100 * 10 + 0.5) / 10 AS pct FROM ({STAGED}) GROUP BY stage"""
+    f"""SELECT stage, count(*) AS total, count(*) FILTER (status = 'SUCCEEDED') AS done, {TASK_COUNTS},
+    floor(count(*) FILTER (status = 'SUCCEEDED') / count(*) * 100 * 10 + 0.5) / 10 AS pct FROM ({TASK_ROWS}) GROUP BY stage"""
 )
 def stage_progress(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.stage_progress(_staged(spark, d))
+    return metrics.stage_progress(_in_states(spark, d, metrics.TASK_STATES))
 
 
-@query(f"SELECT status, count(*) AS count FROM ({STAGED}) GROUP BY status")
+@query(f"SELECT status, count(*) AS count FROM ({TASK_ROWS}) GROUP BY status")
 def job_summary(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.status_histogram(_staged(spark, d))
+    return metrics.status_histogram(_in_states(spark, d, metrics.TASK_STATES))
+
+
+@query(f"SELECT job_id, count(*) AS total, {TASK_COUNTS} FROM ({TASK_ROWS}) GROUP BY job_id")
+def job_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.job_summary(_in_states(spark, d, metrics.TASK_STATES))
+
 
+ACTIVE = ", ".join(f"'{s}'" for s in metrics.JOB_ACTIVE)
 
-@query(f"SELECT count(*) AS total, CAST(0 AS BIGINT) AS active, count(*) FILTER (status = 'SUCCEEDED') AS succeeded, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS cancelled FROM ({STAGED})")
+
+@query(
+    f"""SELECT count(*) AS total, count(*) FILTER (status IN ({ACTIVE})) AS active, count(*) FILTER (status = 'SUCCEEDED') AS succeeded,
+    count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'CANCELLED') AS cancelled FROM ({JOB_ROWS})"""
+)
 def overview(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.overview(_staged(spark, d))
+    return metrics.overview(_in_states(spark, d, JOB_STATES))
+
+
+@query(
+    f"""WITH m AS (SELECT user_id AS worker_id, {mean('value')} AS cpu, {mean('(value / 10)')} AS load FROM events GROUP BY user_id)
+    SELECT worker_id, status, completed, failed, cpu, load FROM ({WORKERS}) w LEFT JOIN m USING (worker_id)"""
+)
+def worker_metrics(spark: SparkSession, d: str) -> DataFrame:
+    samples = _beats(spark, d).select("worker_id", F.col("value").alias("cpu_percent"), (F.col("value") / 10).alias("load1"))
+    return metrics.worker_metrics(_workers(spark, d).select("worker_id", "status", "completed", "failed"), samples)
+
+
+def newest_rows(table: str, key: str, n: int) -> str:
+    rank = f"CAST(row_number() OVER (PARTITION BY {key} ORDER BY ts_ms DESC, sample_id DESC) AS INTEGER)"
+    return f"SELECT * FROM (SELECT *, {rank} AS rank FROM ({table})) WHERE rank <= {n}"
+
+
+@query(newest_rows("SELECT user_id AS worker_id, event_id AS sample_id, (epoch_us(ts) // 1000) AS ts_ms, value AS cpu_percent FROM events", "worker_id", 300))
+def worker_series_long(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.last_samples(_beats(spark, d).withColumnsRenamed({"value": "cpu_percent", "event_id": "sample_id"}), "worker_id", 300, "sample_id")
+
+
+@query(newest_rows("SELECT event_type AS job_id, event_id AS sample_id, (epoch_us(ts) // 1000) AS ts_ms, value AS records_per_sec FROM events", "job_id", 300))
+def job_recent_samples(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "events").select(F.col("event_type").alias("job_id"), F.col("event_id").alias("sample_id"), scalars.epoch_ms(F.col("ts")).alias("ts_ms"), F.col("value").alias("records_per_sec"))
+    return metrics.last_samples(e, "job_id", 300, "sample_id")
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (status = 'alive') AS alive, count(*) FILTER (status = 'dead') AS dead, string_agg(worker_id, ',' ORDER BY worker_id) AS workers FROM ({WORKERS})")
@@ -441,7 +496,7 @@ def version_bump(spark: SparkSession, d: str) -> DataFrame:
 # Scalars -------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' ELSE CAST(CAST(event_id AS DOUBLE) AS VARCHAR) END AS v FROM events WHERE event_id < 10000000")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' ELSE CAST(CAST(event_id AS DOUBLE) AS VARCHAR) END AS v FROM events")
 def sanitized(spark: SparkSession, d: str) -> DataFrame:
     e, k = load(spark, d, "events"), F.col("event_id")
     v = F.when(k % 4 == 0, float("nan")).when(k % 4 == 1, float("inf")).when(k % 4 == 2, float("-inf")).otherwise(k.cast("double"))
@@ -485,3 +540,12 @@ def _synthetic_wordcount(spark: SparkSession, d: str) -> DataFrame:
 def _synthetic_key_value(spark: SparkSession, d: str) -> DataFrame:
     p = jobs.preset("key-value sums")
     return jobs.run_job(synthetic_pairs(spark, p.input_rows, 7), p.mapper, p.reducer)
+
+
+@query("SELECT CAST(15000 AS BIGINT) AS records, CAST(6 AS BIGINT) AS keys, CAST(1000 AS BIGINT) AS at_most, CAST(1 AS BIGINT) AS at_least, CAST(12000 AS BIGINT) AS lines, CAST(5 AS INTEGER) AS fewest, CAST(12 AS INTEGER) AS most")
+def synthetic_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of the generated input whatever the seed: its sizes, keys, values and line lengths."""
+    pairs, text = synthetic_pairs(spark, jobs.preset("key-value sums").input_rows, 7), synthetic_text(spark, jobs.preset("term frequency").input_rows, 7)
+    a = pairs.agg(F.count("*").alias("records"), F.count_distinct("key").alias("keys"), F.max("value").alias("at_most"), F.min("value").alias("at_least"))
+    n = F.size(F.split("text", " "))
+    return a.crossJoin(text.agg(F.count("*").alias("lines"), F.min(n).alias("fewest"), F.max(n).alias("most")))

@@ -109,6 +109,24 @@ def test_even_split(spark, n, parts, sizes):
     assert [r["part"] for r in got] == sorted(r["part"] for r in got)
 
 
+@pytest.mark.parametrize("parts", [7, 64])
+def test_even_split_of_many_rows_with_several_columns(spark, parts):
+    n = 1_000_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"), "id", F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"))
+    got = partitioning.split_evenly(df, parts, "k").groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.count_distinct("id").alias("ids")).orderBy("part").collect()
+    assert [r["n"] for r in got] == [n // parts + (i < n % parts) for i in range(parts)] == [r["ids"] for r in got]
+    assert all(a["high"] < b["low"] for a, b in zip(got[:-1], got[1:], strict=True))
+
+
+def test_results_are_stored_by_partition(spark, tmp_path):
+    df = reducers.count(mappers.wordcount(spark.createDataFrame([(t,) for t in TEXTS], "text string")))
+    results.store_results(df, f"{tmp_path}/out", 4)
+    got = results.read_results(spark, f"{tmp_path}/out", "key string, count long").collect()
+    want = {r["key"]: (r["count"], r["p"]) for r in df.withColumn("p", partitioning.partition_of(F.col("key"), 4)).collect()}
+    assert {r["key"]: (r["count"], r["partition"]) for r in got} == want
+    assert [(r["partition"], r["key"]) for r in got] == sorted((p, k) for k, (_, p) in want.items())
+
+
 def test_partition_sizes(spark):
     pairs = [("a", 1), ('q"\\', 22), ("é", 3)]
     got = partitioning.partition_sizes(spark.createDataFrame(pairs, "key string, value long"), 1).collect()[0]
