@@ -9,9 +9,11 @@ sequences of their own; an empty table packs to nothing. Texts are encoded whole
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ MAX_LENGTH = 2048
 END_ID = 1
 #: Words, and bytes of words, whose encodings a worker keeps; beyond either the memory of words starts anew.
 WORD_CACHE, CACHE_BYTES = 500_000, 32 << 20
+#: Marks that may close a word of letters; a run of them is one part of the vocabulary file's splits.
+CLOSING = string.punctuation
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -67,59 +71,60 @@ class WordEncoder:
         import numpy as np
 
         self.index, self.held = WordIndex(), 0
-        self.index[None] = 0  # the end of a text
-        self.flat, self.starts = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64)
+        self.index[None], self.index[b""] = 0, 1  # the end of a text; the nothing beside outer blanks
+        self.flat, self.starts, self.counts = np.array([self.end_id], np.uint32), np.array([0, 1], np.int64), np.array([1, 0], np.int64)
 
     def learn(self, fresh: list[bytes]) -> None:
         """Append the ids of fresh words."""
         import numpy as np
 
-        parts, counts, alone = [], np.ones(len(fresh), np.int64), []
-        for i, w in enumerate(fresh):
-            s = w.decode("utf-8", "replace")
-            core = s.rstrip(".,;:!?")
-            if core and core.lower().isalpha():
-                parts.append(core)
-                if len(core) < len(s):
-                    parts.append(s[len(core):])
-                    counts[i] = 2
-            else:
-                alone.append((i, s))
-                counts[i] = 0
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        words = pa.array(fresh, pa.binary()).cast(options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
+        core = pc.ascii_rtrim(words, CLOSING)
+        plain = np.asarray(pc.ascii_is_alpha(core))
+        parts = 1 + np.asarray(pc.not_equal(pc.binary_length(words), pc.binary_length(core))).astype(np.int64)
+        for i in np.flatnonzero(~plain & np.asarray(pc.invert(pc.string_is_ascii(words)))):
+            plain[i] = fresh[i].decode("utf-8", "replace").rstrip(CLOSING).lower().isalpha()
+        joined = b" ".join([fresh[i] for i in np.flatnonzero(plain)]).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(stops) != counts.sum():  # a split that was not foreseen: all go singly
-            alone, counts[:], ids, stops = [(i, w.decode("utf-8", "replace")) for i, w in enumerate(fresh)], 0, ids[:0], stops[:0]
-        at = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])]
-        chunks = np.split(ids, at[1:-1]) if alone else []
-        lengths = np.diff(at)
-        for (i, _), e in zip(alone, self.tokenizer.encode_batch_fast([s for _, s in alone], add_special_tokens=False), strict=True):
-            chunks[i] = np.array(e.ids, np.uint32)
-            lengths[i] = len(e.ids)
-        self.flat = np.concatenate([self.flat, *(chunks if alone else [ids])])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        if len(stops) != parts[plain].sum():  # a split that was not foreseen: all go singly
+            plain[:], ids, stops = False, ids[:0], stops[:0]
+        singly = np.flatnonzero(~plain)
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([fresh[i].decode("utf-8", "replace") for i in singly], add_special_tokens=False)]
+        lengths = np.empty(len(fresh), np.int64)
+        lengths[plain] = np.diff(np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(parts[plain])])])
+        lengths[singly] = [len(x) for x in found]
+        at = np.empty(len(fresh), np.int64)
+        for part, base in ((plain, 0), (singly, len(ids))):
+            at[part] = base + np.cumsum(lengths[part]) - lengths[part]
+        self.starts = np.concatenate([self.starts, len(self.flat) + at])
+        self.counts = np.concatenate([self.counts, lengths])
+        self.flat = np.concatenate([self.flat, ids, *found])
         self.held += sum(map(len, fresh))
 
-    def encode(self, texts: list[bytes]) -> tuple:
-        """The ids of all texts in a row, each text's followed by the end id, and their numbers."""
+    def encode(self, texts: pa.Array) -> tuple:
+        """The ids of all texts (strings, null: empty) in a row, each text's followed by the end id, and their numbers.
+
+        Arrow splits the batch and numbers its different words, so only those are looked up one by one."""
         import numpy as np
 
         if len(self.index) > WORD_CACHE or self.held > CACHE_BYTES:
             self.clear()
-        at, sizes, end = [], [], np.zeros(1, np.int32)
-        for t in texts:
-            words = t.lower().split()
-            at += [np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)), end]
-            sizes.append(len(words) + 1)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = split.flatten().dictionary_encode()
+        # one split instead of a value for each word
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_buffer().to_pybytes().split(b" ")
+        known = np.fromiter(map(self.index.__getitem__, names), np.int32, len(names))
         if self.index.fresh:
             self.learn(self.index.fresh)
             self.index.fresh = []
-        word = np.concatenate(at)
+        stops = np.asarray(split.offsets)[1:]
+        word = np.insert(known[np.asarray(coded.indices)], stops, 0)
         first = self.starts[word]
-        count = self.starts[word + 1] - first
+        count = self.counts[word]
         ends = np.cumsum(count)
         flat = self.flat[np.arange(ends[-1]) + np.repeat(first - ends + count, count)]
-        return flat, np.diff(ends[np.cumsum(sizes) - 1], prepend=0)
+        return flat, np.diff(ends[stops + np.arange(len(stops))], prepend=0)
 
 
 #: Encoders of this worker by vocabulary and end id; tasks that follow each other share what was learned.
@@ -160,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MAX_LENGTH,
         for b in it:
             if not b.num_rows:
                 continue
-            flat, counts = words.encode([t or b"" for t in binary_list(b.column(1))])
+            flat, counts = words.encode(b.column(1))
             document, start, length = pieces(counts, most)
             n = len(length)
             bounds = np.concatenate([[0], np.cumsum(4 * length)])

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tessera.llm import ann, importance, langid, media, mixing, packing, simhash, warc
@@ -377,6 +378,20 @@ def test_packing_against_the_tokenizer(spark):
     assert packing.pack(twice).select("sequence_id").distinct().count() == packing.pack(twice).count()
 
 
+def test_encoder_against_the_tokenizer_on_awkward_words(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    letters = "ab'Zé́ß1 .,!&<|>_-\u2003\u00a0字ǅ🙂\t\n\x1c\x85İ—٣"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(1500)] + ["<|endoftext|> a", "don't it's.'s", "", None]
+    monkeypatch.setattr(packing, "WORD_CACHE", 500)  # the memory starts anew now and then
+    words = packing.WordEncoder(packing.default_vocabulary())
+    for i in range(0, len(texts), 90):
+        flat, counts = words.encode(pa.array(texts[i : i + 90], pa.string()))
+        want = [[*words.tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts[i : i + 90]]
+        assert counts.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
+
+
 def test_op8_buckets_hold_one_length(spark, tmp_path):
     import glob
 
