@@ -78,3 +78,17 @@ def op5_factor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words kept of all documents."""
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), UNIT, solve_block)
     return out.select(F.col("row.doc_id").alias("doc_id"), F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows in DuckDB: every window as text, the later of equal ones, and what they cover.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+repeats AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+marked AS (SELECT doc_id, j, word, coalesce(j - max(i) OVER (PARTITION BY doc_id ORDER BY j) < 20, false) AS gone
+           FROM words LEFT JOIN (SELECT doc_id, i AS j, i FROM repeats) USING (doc_id, j)),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS words FROM marked GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -146,3 +146,18 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes kept of all documents."""
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), UNIT, solve_block)
     return out.select(F.col("row.doc_id").alias("doc_id"), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows in DuckDB: every window as text, the later of equal ones, and what they cover.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, i, b[i:i + 99] AS k FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d)),
+repeats AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+bytes AS (SELECT doc_id, hex(b[j:j]) AS x, j FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) + 1)) AS j FROM d)),
+marked AS (SELECT doc_id, j, x, coalesce(j - max(i) OVER (PARTITION BY doc_id ORDER BY j) < 100, false) AS gone
+           FROM bytes LEFT JOIN (SELECT doc_id, i AS j, i FROM repeats) USING (doc_id, j)),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS opens FROM marked),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY j) FILTER (NOT gone) AS x FROM edges GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -114,3 +114,19 @@ def test_long_documents_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(passages, "PIECE", 64)
     assert passages.segments(factors.UNIT, [cases.words(part)], np.array([0]), np.empty(0, np.uint64))[2].sum() == 281
     check(passages.without_repeats(docs.select("doc_id", "text"), factors.UNIT, factors.solve_block), {r["doc_id"]: cases.words(r["text"]) for r in docs.collect()}, 20)
+
+
+@pytest.mark.parametrize("name", ["op3_suffix_dedup", "op5_factor_dedup"])
+def test_queries_against_sql(spark, tmp_path, name):
+    """Whole queries, with their columns and names, on the awkward texts."""
+    import duckdb
+    from tessera.llm import registry
+
+    cases.documents(spark).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.QUERIES[name](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = duck.execute(registry.SQL[name])
+    assert [d[0] for d in cursor.description] == out.columns
+    rows = cursor.fetchall()
+    assert any(r[2] for r in rows) and sorted(map(tuple, out.collect())) == sorted(rows)
