@@ -150,6 +150,8 @@ LEADERS = 4
 #: Members beyond which a bucket that has outlasted the first round is split by shingles.
 WIDE = 64
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: Bits of a set's parities, a multiple of 64 and a power of two.
+PARITIES = 2048
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -198,20 +200,30 @@ def sketches(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("doc_id", "digest", "row_hash", "text").mapInArrow(run, "doc_id long, digest binary, row_hash long, fp long, bands array<long>")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITIES bits as longs, each the parity of the set's hashes that fall on it. Two sets differ in at least as many hashes as bits."""
+    odd = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, hashes (the shingle_set) of texts (node, text)."""
-    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+    """node, hashes (the shingle_set) and its parities of texts (node, text)."""
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary()), ("parity", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(shingle_hashes(t, shingle)).tobytes() for t in binary_list(b.column(1))], pa.binary())], schema=schema)
+            sets = [shingle_set(shingle_hashes(t, shingle)) for t in binary_list(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([parities(x) for x in sets], schema.field(2).type)], schema=schema)
 
-    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary, parity array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (node, hashes, size) have a Jaccard similarity of `similarity` or more; sizes that
-    exclude it are seen before any set is sent."""
+    """The pairs (a, b) whose shingle sets (node, hashes, size, parity) have a Jaccard similarity of `similarity` or more.
+
+    Pairs that the sizes exclude, or the parities (sets of m and n hashes may differ in (m + n) (1 - similarity) / (1 + similarity)
+    of them at most), go before any set is sent; both tests lose no pair.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +236,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=schema)
 
-    sizes = sets.select("node", "size")
-    pairs = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b").where(F.least("m", "n") >= similarity * F.greatest("m", "n")).select("a", "b")
+    brief = sets.select("node", "size", "parity")
+    differing = F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    allowed = (F.col("m") + F.col("n")) / 8 * ((1 - similarity) / (1 + similarity)) + 1e-6
+    near = pairs.join(brief.toDF("a", "m", "p"), "a").join(brief.toDF("b", "n", "q"), "b").where((F.least("m", "n") >= similarity * F.greatest("m", "n")) & (differing <= allowed))
+    near = cut(near.select("a", "b"), "near-pairs")
     x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    found = cut(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-found")
+    discard(near)
+    return found
 
 
 def split_wide(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -240,7 +257,9 @@ def split_wide(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     # a shingle of one set only meets nothing, but takes its place in the order
     rare = held.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     first = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
-    return rare.withColumn("place", first).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1) & (F.col("often") > 1)).select(F.xxhash64("shingle").alias("key"), "node")
+    out = cut(rare.withColumn("place", first).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1) & (F.col("often") > 1)).select(F.xxhash64("shingle").alias("key"), "node"), "near-split")
+    discard(held)
+    return out
 
 
 def similar_groups(rows: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -251,34 +270,42 @@ def similar_groups(rows: DataFrame, edges: DataFrame, sets: DataFrame, similarit
     of a member picked at random, are compared with all its members of other roots, and leave it. So of any two members
     either one was a leader beside the other, or they came to have one root: no link is lost, and a bucket of thousands
     of near copies takes a few rows a member, never its square. A bucket that stays wide is split by shingles once.
+    The table of rows is deleted as soon as the rounds have one of their own.
     """
     def grouped(found: DataFrame, known: DataFrame | None) -> DataFrame:
         old = found.select("a", "b") if known is None else found.select("a", "b").union(known.select("node", "root"))
         return cut(components(old), "near-roots")
 
-    roots = grouped(verified(edges, sets, similarity), None)
+    first = verified(edges, sets, similarity)
+    roots = grouped(first, None)
+    discard(first)
     leaders, split = LEADERS, False
     while True:
         own = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         one = F.min_by("root", F.struct(F.xxhash64("node", F.lit(leaders)), "node"))
         state = own.groupBy("key").agg(one.alias("main"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
         live = cut(own.join(state.select("key", "main", "n"), "key"), "near-live")
+        discard(rows)
         if live.isEmpty():
+            discard(live)
             return roots
         if leaders > LEADERS and not split:
             split = True
             wide = live.where(F.col("n") > WIDE)
             if not wide.isEmpty():
-                rows = cut(live.where(F.col("n") <= WIDE).select("key", "node").union(split_wide(wide, sets, similarity)), "near-rows")
+                apart = split_wide(wide, sets, similarity)
+                rows = cut(live.where(F.col("n") <= WIDE).select("key", "node").union(apart), "near-rows")
+                discard(live, apart)
                 continue
         part = F.pmod(F.xxhash64("node", F.lit(13)), F.lit(leaders))
         led = live.where("root <> main").groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("lead")).groupBy("key").agg(F.collect_list("lead").alias("leads"))
         met = cut(live.join(led, "key").select("key", "node", "root", "leads"), "near-met")
         pairs = met.select("node", "root", F.explode("leads").alias("lead")).where("root <> lead.root").select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
-        found = cut(verified(pairs, sets, similarity), "near-found")
+        found = verified(pairs, sets, similarity)
         rows = cut(met.where(~F.exists("leads", lambda x: x["node"] == F.col("node"))).select("key", "node"), "near-rows")
         if not found.isEmpty():
-            roots = grouped(found, roots)
+            roots, old = grouped(found, roots), roots
+            discard(old)
         discard(live, met, found)
         leaders *= LEADERS
 
@@ -308,6 +335,8 @@ def near_copy_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity:
     roots = similar_groups(buckets, edges, sets, similarity)
     members = reps.select("node", "digest", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = members.groupBy("root").agg(F.min(F.struct("own", "digest")).alias("first")).select("first.digest", F.col("first.own.row_hash").alias("row_hash"))
+    keep = cut(keep, "near-keep")
+    discard(reps, fps, edges, wanted, sets, roots)
     return keep, base
 
 
@@ -319,11 +348,11 @@ def without_near_copies(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarit
     one text and doc_id the one with the smallest hash stays; an empty table gives an empty result.
     """
     keep, base = near_copy_groups(docs, shingle, similarity)
-    keep = cut(keep, "near-keep")
     counts = base.groupBy("digest", "row_hash").agg(F.count("*").alias("n"))
     # what goes is less than what stays; equal rows that stay leave one by a second way, where there are such
     gone = cut(counts.join(keep, ["digest", "row_hash"], "left_anti").select("digest", "row_hash"), "near-gone")
     several = cut(counts.where("n > 1").join(keep, ["digest", "row_hash"]).select("digest", "row_hash"), "near-several")
+    discard(base, keep)
     left = keyed(docs).select("digest", "row_hash", "row").join(gone, ["digest", "row_hash"], "left_anti")
     if not several.isEmpty():
         once = left.join(several, ["digest", "row_hash"]).dropDuplicates(["digest", "row_hash"])
