@@ -102,7 +102,6 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest value of its component) for the edges (a, b), by alternating large and small stars; roots
     have no row of their own."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
-    before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")
@@ -112,10 +111,10 @@ def components(edges: DataFrame) -> DataFrame:
         after = cut(small, "cc-edges")
         discard(edges, low, large, least)
         edges = after
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-        before = tuple(now)
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.lit(1).alias("up")), F.struct(F.col("b").alias("u"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        # stars only: every node has one edge upwards, and nodes that others point to have none
+        if ends.groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where("ups > 1 or ups = 1 and low = 0").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -150,8 +149,12 @@ LEADERS = 4
 #: Members beyond which a bucket that has outlasted the first round is split by shingles.
 WIDE = 64
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: Ratio of the largest to the smallest size in a class of sizes, when wide buckets are split.
+SIZE_STEP = 1.06
 #: Bits of a set's parities, a multiple of 64 and a power of two.
 PARITIES = 2048
+#: Longs to which the parities are folded for the first test of pairs, before they become rows.
+FOLDED = 4
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -218,6 +221,24 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, hashes binary, parity array<long>")
 
 
+def possible(m: Column, n: Column, p: Column, q: Column, similarity: float) -> Column:
+    """False only for sets of m and n bytes with parities p and q, whole or folded, that can't have the similarity."""
+    differing = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+    return (F.least(m, n) >= similarity * F.greatest(m, n)) & (differing <= (m + n) / 8 * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def folded(parity: str) -> Column:
+    """Parities of the same hashes on fewer bits."""
+    parts = [F.col(parity)[i] for i in range(PARITIES // 64)]
+    out = []
+    for i in range(FOLDED):
+        bits = parts[i]
+        for x in parts[i + FOLDED :: FOLDED]:
+            bits = bits.bitwiseXOR(x)
+        out.append(bits)
+    return F.array(*out)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets (node, hashes, size, parity) have a Jaccard similarity of `similarity` or more.
 
@@ -237,9 +258,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=schema)
 
     brief = sets.select("node", "size", "parity")
-    differing = F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
-    allowed = (F.col("m") + F.col("n")) / 8 * ((1 - similarity) / (1 + similarity)) + 1e-6
-    near = pairs.join(brief.toDF("a", "m", "p"), "a").join(brief.toDF("b", "n", "q"), "b").where((F.least("m", "n") >= similarity * F.greatest("m", "n")) & (differing <= allowed))
+    near = pairs.join(brief.toDF("a", "m", "p"), "a").join(brief.toDF("b", "n", "q"), "b").where(possible(F.col("m"), F.col("n"), F.col("p"), F.col("q"), similarity))
     near = cut(near.select("a", "b"), "near-pairs")
     x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     found = cut(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-found")
@@ -248,8 +267,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def split_wide(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Buckets (key, node) in which all pairs of `similarity` or more among the nodes of rows meet again: with shingles ordered
-    by the number of sets that hold them, rarest first, two such sets share one of their first n - ceil(similarity * n) + 1."""
+    """Buckets (key, node, own) in which all pairs of `similarity` or more among the nodes of rows meet again, one of the two as own.
+
+    Sets of m <= n hashes share at least s / (1 + s) (m + n) of them, so with shingles ordered by the number of sets that hold
+    them, rarest first, they share one of the first m - that + 1 and n - that + 1. A set is filed as own in its class of
+    sizes, as the smaller of a pair, and in every class down to `similarity` of its size as the larger: unlike texts with
+    a common passage meet only where what is their own is short enough for such a pair.
+    """
     nodes = rows.select("node").distinct()
     held = sets.join(nodes, "node").select("node", "size", F.explode(F.expr("sequence(0, cast(size as int) - 8, 8)")).alias("at"), "hashes")
     held = cut(held.select("node", (F.col("size") / 8).cast("long").alias("n"), F.substring("hashes", F.col("at") + 1, F.lit(8)).alias("shingle")), "near-held")
@@ -257,19 +281,33 @@ def split_wide(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     # a shingle of one set only meets nothing, but takes its place in the order
     rare = held.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     first = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
-    out = cut(rare.withColumn("place", first).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1) & (F.col("often") > 1)).select(F.xxhash64("shingle").alias("key"), "node"), "near-split")
+    share, n = similarity / (1 + similarity), F.col("n")
+    least = F.ceil(n * F.lit(similarity) - 1e-9)
+
+    def reach(m: Column) -> Column:
+        return n - F.ceil((n + m) * F.lit(share) - 1e-9) + 1
+
+    def size_class(m: Column) -> Column:
+        return F.floor(F.log(m) / F.log(F.lit(SIZE_STEP)) + 1e-9)
+
+    placed = rare.withColumn("place", first).where((F.col("place") <= reach(least)) & (F.col("often") > 1))
+    filed = placed.withColumn("class", F.explode(F.sequence(size_class(least), size_class(n))))
+    low = F.greatest(least, F.floor(F.pow(F.lit(SIZE_STEP), F.col("class") - 1e-6)))
+    filed = filed.where(F.col("place") <= reach(low)).select(F.xxhash64("shingle", "class").alias("key"), "node", ((F.col("class") == size_class(n)) & (F.col("place") <= reach(n))).alias("own"))
+    out = cut(filed, "near-split")
     discard(held)
     return out
 
 
 def similar_groups(rows: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """node, root of the components under `similarity`, over all pairs of nodes that rows (key, node) put into one bucket and
-    the candidates edges (a, b); nodes alone have no row.
+    """node, root of the components under `similarity`, over all pairs of nodes that rows (key, node, own) put into one bucket, one
+    of the two as own, and the candidates edges (a, b); nodes alone have no row.
 
     A bucket lives while its members have different roots. In rounds its leaders, some of those that aren't of the root
     of a member picked at random, are compared with all its members of other roots, and leave it. So of any two members
     either one was a leader beside the other, or they came to have one root: no link is lost, and a bucket of thousands
     of near copies takes a few rows a member, never its square. A bucket that stays wide is split by shingles once.
+    Members that aren't own need no comparison among themselves.
     The table of rows is deleted as soon as the rounds have one of their own.
     """
     def grouped(found: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -281,10 +319,10 @@ def similar_groups(rows: DataFrame, edges: DataFrame, sets: DataFrame, similarit
     discard(first)
     leaders, split = LEADERS, False
     while True:
-        own = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         one = F.min_by("root", F.struct(F.xxhash64("node", F.lit(leaders)), "node"))
-        state = own.groupBy("key").agg(one.alias("main"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-        live = cut(own.join(state.select("key", "main", "n"), "key"), "near-live")
+        state = rooted.groupBy("key").agg(one.alias("main"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.max("own").alias("any")).where("low <> high and any")
+        live = cut(rooted.join(state.select("key", "main", "n"), "key"), "near-live")
         discard(rows)
         if live.isEmpty():
             discard(live)
@@ -293,16 +331,26 @@ def similar_groups(rows: DataFrame, edges: DataFrame, sets: DataFrame, similarit
             split = True
             wide = live.where(F.col("n") > WIDE)
             if not wide.isEmpty():
-                apart = split_wide(wide, sets, similarity)
-                rows = cut(live.where(F.col("n") <= WIDE).select("key", "node").union(apart), "near-rows")
-                discard(live, apart)
+                finer = split_wide(wide, sets, similarity)
+                rows = cut(live.where(F.col("n") <= WIDE).select("key", "node", "own").union(finer), "near-rows")
+                discard(live, finer)
                 continue
+        # in the first round nearly all pairs are links; later ones test them before they become rows
+        seen = [] if leaders == LEADERS else ["size", "folded"]
+        if seen:
+            live, old = cut(live.join(sets.select("node", "size", folded("parity").alias("folded")), "node"), "near-live"), live
+            discard(old)
         part = F.pmod(F.xxhash64("node", F.lit(13)), F.lit(leaders))
-        led = live.where("root <> main").groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("lead")).groupBy("key").agg(F.collect_list("lead").alias("leads"))
-        met = cut(live.join(led, "key").select("key", "node", "root", "leads"), "near-met")
-        pairs = met.select("node", "root", F.explode("leads").alias("lead")).where("root <> lead.root").select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
+        led = live.where("root <> main").groupBy("key", part.alias("part")).agg(F.min(F.struct((~F.col("own")).alias("late"), "node", "root", "own", *seen)).alias("lead")).groupBy("key").agg(F.collect_list("lead").alias("leads"))
+        met = cut(live.join(led, "key").select("key", "node", "root", "own", "leads", *seen), "near-met")
+
+        def apart(x: Column) -> Column:
+            test = (x["root"] != F.col("root")) & (x["own"] | F.col("own"))
+            return test & possible(x["size"], F.col("size"), x["folded"], F.col("folded"), similarity) if seen else test
+
+        pairs = met.select("node", F.explode(F.filter("leads", apart)).alias("lead")).select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
         found = verified(pairs, sets, similarity)
-        rows = cut(met.where(~F.exists("leads", lambda x: x["node"] == F.col("node"))).select("key", "node"), "near-rows")
+        rows = cut(met.where(~F.exists("leads", lambda x: x["node"] == F.col("node"))).select("key", "node", "own"), "near-rows")
         if not found.isEmpty():
             roots, old = grouped(found, roots), roots
             discard(old)
@@ -327,7 +375,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity:
     edges = cut(same.union(covered).distinct(), "near-covered")
     banded = reps.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = cut(banded.join(shared, "key"), "near-rows")
+    buckets = cut(banded.join(shared, "key").withColumn("own", F.lit(True)), "near-rows")
     wanted = buckets.select("node").union(edges.select("a")).union(edges.select("b")).distinct()
     wanted = cut(reps.join(wanted, "node").select("node", "digest", F.col("own.row_hash").alias("row_hash")), "near-wanted")
     texts = rows.select("digest", "row_hash", "text").join(wanted, ["digest", "row_hash"])
