@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,6 +155,10 @@ SIZE_STEP = 1.06
 PARITIES = 2048
 #: Longs to which the parities are folded for the first test of pairs, before they become rows.
 FOLDED = 4
+#: Bits of a filter for each key, and its words of 64 bits at most, a power of two; beyond them it lets more rows pass.
+FILTER_BITS, FILTER_WORDS = 16, 1 << 20
+#: One of so many sets is counted for the order of shingles, over SLOTS counters, a power of two. Any order is exact.
+COUNTED, SLOTS = 8, 1 << 20
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -239,6 +243,26 @@ def folded(parity: str) -> Column:
     return F.array(*out)
 
 
+def marked(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """rows with `maybe`: false only where no row of keys, a small stored table, has their values of the columns on.
+
+    A bitmap of the keys' hashes goes to all tasks (16 bits a key: 6 % of other rows pass), so that an exact join need
+    not shuffle the rows that have no match.
+    """
+    words = 1
+    while words < min(FILTER_WORDS, keys.count() * FILTER_BITS / 64):
+        words *= 2
+    h = F.xxhash64(*on)
+    word, bit = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1).cast("long")), h.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    bits = keys.select(word.alias("f_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("f_word").agg(F.bit_or("bit").alias("f_bits"))
+    return rows.join(F.broadcast(bits), word == F.col("f_word"), "left").withColumn("maybe", F.coalesce(F.getbit("f_bits", bit) == 1, F.lit(False))).drop("f_word", "f_bits")
+
+
+def among(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """The rows that marked lets pass: all that have a match in keys, and few others."""
+    return marked(rows, keys, *on).where("maybe").drop("maybe")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets (node, hashes, size, parity) have a Jaccard similarity of `similarity` or more.
 
@@ -260,27 +284,61 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     brief = sets.select("node", "size", "parity")
     near = pairs.join(brief.toDF("a", "m", "p"), "a").join(brief.toDF("b", "n", "q"), "b").where(possible(F.col("m"), F.col("n"), F.col("p"), F.col("q"), similarity))
     near = cut(near.select("a", "b"), "near-pairs")
+    if near.isEmpty():
+        return near
+    ends = cut(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "near-ends")
+    sets = among(sets.select("node", "hashes"), ends, "node")
     x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     found = cut(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-found")
-    discard(near)
+    discard(near, ends)
     return found
 
 
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """For each of SLOTS the number of sets (node, hashes), of one in COUNTED, times their shingles that fall on it."""
+    schema = pa.schema([("slot", pa.int64()), ("n", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                slots, n = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64) & np.uint64(SLOTS - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slots.view(np.int64)), pa.array(n, pa.int64())], schema=schema)
+
+    some = sets.where(F.pmod(F.xxhash64("node", F.lit(29)), F.lit(COUNTED)) == 0).select("hashes")
+    found = some.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").cast("int").alias("n")).where("n > 1").toArrow()
+    counts = np.zeros(SLOTS, np.int32)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def first_shingles(sets: DataFrame) -> DataFrame:
+    """node, n, shingle and place (from 1) of the first `most` shingles of each set (node, n, most, hashes), rarest first.
+
+    The order is by the count of a shingle's slot, then by the shingle: the same in all sets, whatever was counted.
+    """
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64()), ("place", pa.int64())])
+    counts = sets.sparkSession.sparkContext.broadcast(slot_counts(sets))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for node, n, most, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(held, np.uint64)
+                x = x[np.lexsort((x, counts.value[x & np.uint64(SLOTS - 1)]))[:most]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(np.full(len(x), n)), pa.array(x.view(np.int64)), pa.array(np.arange(1, len(x) + 1))], schema=schema)
+
+    return sets.select("node", "n", "most", "hashes").mapInArrow(run, "node long, n long, shingle long, place long")
+
+
 def split_wide(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Buckets (key, node, own) in which all pairs of `similarity` or more among the nodes of rows meet again, one of the two as own.
 
-    Sets of m <= n hashes share at least s / (1 + s) (m + n) of them, so with shingles ordered by the number of sets that hold
-    them, rarest first, they share one of the first m - that + 1 and n - that + 1. A set is filed as own in its class of
-    sizes, as the smaller of a pair, and in every class down to `similarity` of its size as the larger: unlike texts with
-    a common passage meet only where what is their own is short enough for such a pair.
+    Sets of m <= n hashes share at least s / (1 + s) (m + n) of them, so with shingles in one order for all sets, they share
+    one of the first m - that + 1 and n - that + 1. Any order will do; about rarest first, few others meet. Only these first
+    ones, a fifth of a set, become rows. A set is filed as own in its class of sizes, as the smaller of a pair, and in every
+    class down to `similarity` of its size as the larger: unlike texts with a common passage meet only where what is their
+    own is short enough for such a pair.
     """
-    nodes = rows.select("node").distinct()
-    held = sets.join(nodes, "node").select("node", "size", F.explode(F.expr("sequence(0, cast(size as int) - 8, 8)")).alias("at"), "hashes")
-    held = cut(held.select("node", (F.col("size") / 8).cast("long").alias("n"), F.substring("hashes", F.col("at") + 1, F.lit(8)).alias("shingle")), "near-held")
-    often = held.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    # a shingle of one set only meets nothing, but takes its place in the order
-    rare = held.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    first = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    nodes = cut(rows.select("node").distinct(), "near-wide")
     share, n = similarity / (1 + similarity), F.col("n")
     least = F.ceil(n * F.lit(similarity) - 1e-9)
 
@@ -290,12 +348,16 @@ def split_wide(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     def size_class(m: Column) -> Column:
         return F.floor(F.log(m) / F.log(F.lit(SIZE_STEP)) + 1e-9)
 
-    placed = rare.withColumn("place", first).where((F.col("place") <= reach(least)) & (F.col("often") > 1))
+    held = among(sets.select("node", (F.col("size") / 8).cast("long").alias("n"), "hashes"), nodes, "node").join(nodes, "node")
+    first = cut(first_shingles(held.withColumn("most", reach(least))), "near-first")
+    # a shingle that comes first in one set only meets nothing
+    often = cut(first.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1").select("shingle"), "near-often")
+    placed = among(first, often, "shingle").join(often, "shingle")
     filed = placed.withColumn("class", F.explode(F.sequence(size_class(least), size_class(n))))
     low = F.greatest(least, F.floor(F.pow(F.lit(SIZE_STEP), F.col("class") - 1e-6)))
     filed = filed.where(F.col("place") <= reach(low)).select(F.xxhash64("shingle", "class").alias("key"), "node", ((F.col("class") == size_class(n)) & (F.col("place") <= reach(n))).alias("own"))
     out = cut(filed, "near-split")
-    discard(held)
+    discard(nodes, first, often)
     return out
 
 
@@ -374,12 +436,13 @@ def near_copy_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity:
     covered = links(fps.select("fp")).join(fps.toDF("a", "a_node"), "a").join(fps.toDF("b", "b_node"), "b").select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
     edges = cut(same.union(covered).distinct(), "near-covered")
     banded = reps.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = cut(banded.join(shared, "key").withColumn("own", F.lit(True)), "near-rows")
+    shared = cut(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-shared")
+    buckets = cut(among(banded, shared, "key").join(shared, "key").withColumn("own", F.lit(True)), "near-rows")
+    discard(shared)
     wanted = buckets.select("node").union(edges.select("a")).union(edges.select("b")).distinct()
     wanted = cut(reps.join(wanted, "node").select("node", "digest", F.col("own.row_hash").alias("row_hash")), "near-wanted")
-    texts = rows.select("digest", "row_hash", "text").join(wanted, ["digest", "row_hash"])
-    sets = cut(shingle_sets(texts, shingle).dropDuplicates(["node"]).withColumn("size", F.octet_length("hashes")), "near-sets")
+    texts = among(rows.select("digest", "row_hash", "text"), wanted, "row_hash").join(wanted, ["digest", "row_hash"]).dropDuplicates(["digest", "row_hash"])
+    sets = cut(shingle_sets(texts, shingle).withColumn("size", F.octet_length("hashes")), "near-sets")
     roots = similar_groups(buckets, edges, sets, similarity)
     members = reps.select("node", "digest", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = members.groupBy("root").agg(F.min(F.struct("own", "digest")).alias("first")).select("first.digest", F.col("first.own.row_hash").alias("row_hash"))
@@ -401,8 +464,11 @@ def without_near_copies(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarit
     gone = cut(counts.join(keep, ["digest", "row_hash"], "left_anti").select("digest", "row_hash"), "near-gone")
     several = cut(counts.where("n > 1").join(keep, ["digest", "row_hash"]).select("digest", "row_hash"), "near-several")
     discard(base, keep)
-    left = keyed(docs).select("digest", "row_hash", "row").join(gone, ["digest", "row_hash"], "left_anti")
+    # most rows are seen to stay by a filter; only the others are shuffled, whole, to be held against the lists
+    doubtful = cut(gone.union(several), "near-doubtful")
+    rows = marked(keyed(docs).select("digest", "row_hash", "row"), doubtful, "row_hash")
+    plain, left = rows.where("not maybe"), rows.where("maybe").join(gone, ["digest", "row_hash"], "left_anti")
     if not several.isEmpty():
         once = left.join(several, ["digest", "row_hash"]).dropDuplicates(["digest", "row_hash"])
         left = left.join(several, ["digest", "row_hash"], "left_anti").unionByName(once)
-    return left.select("row.*")
+    return plain.unionByName(left).select("row.*")

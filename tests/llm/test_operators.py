@@ -290,6 +290,51 @@ def test_stage_with_hundreds_of_unlike_members_in_a_bucket(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.without_near_copies(docs).collect()} == set(range(250))
 
 
+def written(spark):
+    """Bytes and rows that this session has written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return np.array([(x.shuffleWriteBytes(), x.shuffleWriteRecords()) for x in (stages.apply(i) for i in range(stages.size()))]).sum(0)
+
+
+def test_stage_shuffles_no_texts_without_candidates(spark):
+    rng = random.Random(43)
+    texts = [cases.prose(rng, 3000, 50000) for _ in range(120)]
+    near = texts[60].split()
+    near[1000] = "changed"
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(near), texts[7]])), "doc_id long, text string").localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        before = written(spark)
+        assert {r["doc_id"] for r in simhash.without_near_copies(docs).collect()} == set(range(120))
+        assert (written(spark) - before)[0] < 0.25 * sum(map(len, texts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("counted", [1, 8])
+def test_wide_buckets_are_split_by_first_shingles_only(spark, monkeypatch, counted):
+    monkeypatch.setattr(simhash, "COUNTED", counted, raising=False)
+    rng = np.random.default_rng(44)
+    common, sets = rng.integers(0, 1 << 63, 120, np.uint64), []
+    for i in range(300):  # a passage in all, and copies that differ in some shingles, about as much as may be
+        own = rng.integers(0, 1 << 63, int(rng.integers(20, 90)), np.uint64) if i % 3 else sets[i - 2][120:] if i > 2 else common[:0]
+        sets.append(np.concatenate([common, own[: len(own) - int(rng.integers(0, 8))], rng.integers(0, 1 << 63, int(rng.integers(0, 12)), np.uint64)]))
+    rows = spark.createDataFrame([(i, np.unique(x).tobytes(), 8 * len(np.unique(x))) for i, x in enumerate(sets)], "node long, hashes binary, size int").localCheckpoint()
+    before = written(spark)
+    out = simhash.split_wide(rows.select(F.lit(1).alias("key"), "node", F.lit(True).alias("own")), rows, 0.8)
+    assert (written(spark) - before)[1] < 0.7 * sum(map(len, sets))
+    buckets = {}
+    for r in out.collect():
+        buckets.setdefault(r["key"], {}).setdefault(r["node"], False)
+        buckets[r["key"]][r["node"]] |= r["own"]
+    meet = {(a, b) for x in buckets.values() for a in x for b in x if a < b and (x[a] or x[b])}
+    held = [set(x.tolist()) for x in sets]
+    want = {(a, b) for b in range(300) for a in range(b) if 10 * len(held[a] & held[b]) >= 8 * len(held[a] | held[b])}
+    assert want and want <= meet and len(meet) < 45000 * 0.9
+
+
 def test_stage_with_repeated_and_null_ids(spark):
     rng = random.Random(42)
     a, b, c, d = (cases.prose(rng, 80, 4000) for _ in range(4))
