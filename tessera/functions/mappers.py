@@ -12,11 +12,13 @@ from .scalars import to_double
 
 #: Fixed value: what separates words. Letters with accents do, CJK ideographs don't.
 SEPARATORS = "[^a-zA-Z0-9一-鿿]+"
+#: Fixed value: the same code points listed, not excluded; Java's matcher takes a fraction of the time over these.
+LISTED_SEPARATORS = r"[\x00-/:-@\[-`{-\u4dff\ua000-\x{10ffff}]+"
 DEFAULT_PATTERN = "map"
 
 
 def words(text: Column) -> Column:
-    return F.split(F.lower(text), SEPARATORS)
+    return F.split(F.lower(text), LISTED_SEPARATORS)
 
 
 def _tokens(df: DataFrame, text: str, once: bool = False) -> DataFrame:

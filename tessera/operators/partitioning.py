@@ -57,9 +57,16 @@ def split_evenly(df: DataFrame, parts: int, *order: str) -> DataFrame:
 
 
 def partition_sizes(pairs: DataFrame, partitions: int) -> DataFrame:
-    """partition, records, bytes of the pairs (key, value) as they would be written, one JSON array a line."""
-    line = F.concat(F.lit("["), F.to_json(F.struct("key")).substr(F.lit(8), F.length(F.to_json(F.struct("key"))) - 8), F.lit(", "), F.col("value").cast("string"), F.lit("]\n"))
-    return pairs.groupBy(partition_of(F.col("key"), partitions).alias("partition")).agg(F.count("*").alias("records"), F.sum(F.octet_length(line)).cast("bigint").alias("bytes"))
+    """partition, records, bytes of the pairs (key, value) as they would be written, one JSON array a line.
+
+    Keys are hashed and written as JSON once each, after their rows are counted; a pair without a value has no line.
+    """
+    value = F.col("value").cast("string")
+    keys = pairs.groupBy("key").agg(F.count("*").alias("records"), F.count(value).alias("lines"), F.sum(F.octet_length(value)).alias("values"))
+    as_json = F.to_json(F.struct("key"))
+    quoted = F.octet_length(as_json.substr(F.lit(8), F.length(as_json) - 8))  # {"key":...}
+    written = F.col("lines") * (quoted + len("[, ]\n")) + F.col("values")
+    return keys.groupBy(partition_of(F.col("key"), partitions).alias("partition")).agg(F.sum("records").alias("records"), F.sum(written).alias("bytes"))
 
 
 def shuffle_matrix(pairs: DataFrame) -> DataFrame:

@@ -135,6 +135,35 @@ def test_partition_sizes(spark):
     assert (got["records"], got["bytes"]) == (3, sum(len(json.dumps(list(p), ensure_ascii=False).encode()) + 1 for p in pairs))
 
 
+def test_partition_sizes_of_repeated_keys(spark):
+    pairs = [("a", 1), ("a", 22), ("a", 22), ("a", None), ('q"\\\n', -5), ("é", 3), ("b", None)] + [("分布式", i) for i in range(300)] + [(f"k{i % 40}", i) for i in range(500)]
+    import json
+
+    want = defaultdict(lambda: [0, None])
+    for k, v in pairs:
+        cell = want[int.from_bytes(hashlib.md5((partitioning.SALT + k).encode()).digest()[:8], "big") % 4]
+        cell[0] += 1
+        if v is not None:
+            cell[1] = (cell[1] or 0) + len(json.dumps([k, v], ensure_ascii=False).encode()) + 1
+    df = partitioning.partition_sizes(spark.createDataFrame(pairs, "key string, value long"), 4)
+    assert rows(df, "partition", "records", "bytes") == sorted((p, n, b) for p, (n, b) in want.items())
+
+
+def test_partition_sizes_hashes_and_quotes_each_key_once(spark, texts):
+    plan = partitioning.partition_sizes(mappers.wordcount(texts), 8)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    by_key = max((i for i, line in enumerate(plan) if "Aggregate [key#" in line), default=-1)
+    counted, each_row = "".join(plan[: by_key + 1]), "".join(plan[by_key + 1 :])
+    assert "md5" in counted and "StructsToJson" in counted
+    assert "md5" not in each_row and "StructsToJson" not in each_row
+
+
+def test_listed_separators_are_all_others(spark):
+    separates = lambda pattern: F.regexp_replace("c", pattern, "") == ""
+    points = spark.createDataFrame([(chr(i),) for i in range(0x110000) if not 0xD800 <= i < 0xE000], "c string")
+    assert points.where(separates(mappers.SEPARATORS) != separates(mappers.LISTED_SEPARATORS)).count() == 0
+    assert points.where(~separates(mappers.LISTED_SEPARATORS)).count() == 26 * 2 + 10 + 0x9FFF - 0x4E00 + 1
+
+
 def test_pages_and_merges(spark):
     df = spark.range(25).withColumnRenamed("id", "key")
     p = results.page(df, "key", limit=10).collect()
